@@ -1,0 +1,4 @@
+import byline.plans.batch  # noqa: F401
+import byline.operators.panels  # noqa: F401
+import byline.operators.regions  # noqa: F401
+import byline.sources.files  # noqa: F401
