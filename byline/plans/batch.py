@@ -20,7 +20,8 @@ from byline.operators.linkage import link_authors
 from byline.operators.memory import memory_signals
 from byline.schemas import EVIDENCE_COLUMNS
 from byline.sources.pages import sidecar_authors, tooltip_text
-from byline.sources.works import openalex_authors, registry_authors, registry_papers
+from byline.sources.works import (openalex_authors, openalex_names, registry_authors, registry_names,
+                                  registry_papers)
 
 EVIDENCE_CHARS = 500
 
@@ -68,12 +69,10 @@ def adjudicate(registry: DataFrame, vision: DataFrame, texts: DataFrame, papers:
     return decided, statuses
 
 
-def vision_evidence(ocr: DataFrame, hover: DataFrame, registry: DataFrame,
+def vision_evidence(ocr: DataFrame, hover: DataFrame, registry: DataFrame, names: DataFrame,
                     pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vision authors, texts) of the papers: recognised text, unless the page suffices."""
     complete = hover_complete(hover, registry).where("complete").select("doi")
-    names = (registry.groupBy("doi").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("n"))
-             .select("doi", F.transform("n", lambda x: x["name"]).alias("names")))
     meta = (pages.select("doi", usable_meta_institutions(
         F.col("meta.citation_author_institution")).alias("institutions")).where("institutions IS NOT NULL"))
     texts = ocr.select("doi", F.col("ocr_text").alias("text")).join(complete, "doi", "left_anti")
@@ -102,7 +101,9 @@ def run_batch(inputs: BatchInputs) -> BatchResult:
     registry = enrich_registry(registry_authors(works), openalex_authors(alex).join(
         works.select("doi"), "doi", "left_semi"))
     pages = due(inputs.page_sidecars)
-    vision, texts = vision_evidence(due(inputs.ocr_sidecars), sidecar_authors(pages), registry, pages)
+    names = (registry_names(works).join(openalex_names(alex).withColumnRenamed("names", "_oa"), "doi", "left")
+             .select("doi", F.when(F.size("names") > 0, F.col("names")).otherwise(F.col("_oa")).alias("names")))
+    vision, texts = vision_evidence(due(inputs.ocr_sidecars), sidecar_authors(pages), registry, names, pages)
     landed = works.select("doi").distinct()
     vision = vision.join(landed, "doi", "left_semi")
     failed = todo.join(landed, "doi", "left_anti")
