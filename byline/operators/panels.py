@@ -25,6 +25,7 @@ NOTE_WORDS = ["corresponding", "equal contribution", "contributed equally"]
 CORRESPONDING_WORDS = ["corresponding author", "correspondence", "email", "e-mail"]
 CO_FIRST_WORDS = ["equal contribution", "contributed equally", "co-first", "co first"]
 MAX_AFFILIATIONS = 6
+MAX_LINES = 10**9
 
 
 def _plain(c: Column) -> Column:
@@ -79,13 +80,17 @@ def affiliation_pairs(text: Column) -> Column:
     after = F.slice(rows, start + 1, F.size(rows))
     stop = F.array_position(F.transform(after, lambda x: contains_any(F.lower(x), SECTION_ENDS)), True).cast("int")
     section = F.filter(F.when(stop > 0, F.slice(after, 1, stop - 1)).otherwise(after), lambda x: F.length(x) > 0)
-    facts = F.transform(section, lambda x, i: F.struct(
-        x.alias("line"), F.coalesce(F.get(section, i + 1), F.lit("")).alias("after")))
+    # Lambdas re-evaluate what they capture, so each line carries its successor instead.
+    facts = F.transform(
+        F.zip_with(section, F.slice(section, 2, MAX_LINES), lambda x, y: F.struct(
+            x.alias("line"), F.coalesce(y, F.lit("")).alias("after"))),
+        lambda z: F.struct((is_affiliation_line(z["line"]) & is_author_list_line(z["after"])).alias("fits"),
+                           z["line"].alias("line"), z["after"].alias("after")))
     pair = "struct<affiliation:string,authors:array<string>>"
     zero = F.struct(F.lit(False).alias("used"), F.array().cast(f"array<{pair}>").alias("out"))
 
     def step(s, x):
-        take = ~s["used"] & is_affiliation_line(x["line"]) & is_author_list_line(x["after"])
+        take = ~s["used"] & x["fits"]
         item = F.struct(x["line"].alias("affiliation"), author_list(x["after"]).alias("authors"))
         return F.struct(take.alias("used"),
                         F.when(take, F.concat(s["out"], F.array(item))).otherwise(s["out"]).alias("out"))
