@@ -25,7 +25,6 @@ NOTE_WORDS = ["corresponding", "equal contribution", "contributed equally"]
 CORRESPONDING_WORDS = ["corresponding author", "correspondence", "email", "e-mail"]
 CO_FIRST_WORDS = ["equal contribution", "contributed equally", "co-first", "co first"]
 MAX_AFFILIATIONS = 6
-MAX_LINES = 10**9
 
 
 def _plain(c: Column) -> Column:
@@ -71,31 +70,29 @@ def affiliation_pairs(text: Column) -> Column:
     """ARRAY<STRUCT<affiliation, authors>> from consecutive panel lines.
 
     Inside the section, an affiliation line followed by an author-list line is a pair
-    and both lines are used up; a fold walks the lines and remembers whether the
-    previous one was already used.
+    and both lines are used up. One fold over the lines: the state holds the place in
+    the text (before, inside, after the section), the affiliation line that waits for
+    its authors, and the pairs so far.
     """
-    rows = F.transform(lines(text), squeeze)
-    low = F.transform(rows, F.lower)
-    start = F.array_position(F.transform(low, lambda x: F.contains(x, F.lit(SECTION_START))), True).cast("int")
-    after = F.slice(rows, start + 1, F.size(rows))
-    stop = F.array_position(F.transform(after, lambda x: contains_any(F.lower(x), SECTION_ENDS)), True).cast("int")
-    section = F.filter(F.when(stop > 0, F.slice(after, 1, stop - 1)).otherwise(after), lambda x: F.length(x) > 0)
-    # Lambdas re-evaluate what they capture, so each line carries its successor instead.
-    facts = F.transform(
-        F.zip_with(section, F.slice(section, 2, MAX_LINES), lambda x, y: F.struct(
-            x.alias("line"), F.coalesce(y, F.lit("")).alias("after"))),
-        lambda z: F.struct((is_affiliation_line(z["line"]) & is_author_list_line(z["after"])).alias("fits"),
-                           z["line"].alias("line"), z["after"].alias("after")))
-    pair = "struct<affiliation:string,authors:array<string>>"
-    zero = F.struct(F.lit(False).alias("used"), F.array().cast(f"array<{pair}>").alias("out"))
+    facts = F.transform(F.transform(lines(text), squeeze), lambda x: F.struct(
+        x.alias("line"), F.contains(F.lower(x), F.lit(SECTION_START)).alias("start"),
+        contains_any(F.lower(x), SECTION_ENDS).alias("stop"),
+        is_affiliation_line(x).alias("aff"), is_author_list_line(x).alias("names")))
+    none = F.lit(None).cast("string")
+    zero = F.struct(F.lit(0).alias("place"), none.alias("open"),
+                    F.array().cast("array<struct<affiliation:string,authors:array<string>>>").alias("out"))
 
     def step(s, x):
-        take = ~s["used"] & x["fits"]
-        item = F.struct(x["line"].alias("affiliation"), author_list(x["after"]).alias("authors"))
-        return F.struct(take.alias("used"),
-                        F.when(take, F.concat(s["out"], F.array(item))).otherwise(s["out"]).alias("out"))
-    none = F.array().cast(f"array<{pair}>")
-    return F.when(start > 0, F.aggregate(facts, zero, step, lambda s: s["out"])).otherwise(none)
+        inside = (s["place"] == 1) & ~x["stop"]
+        place = F.when(s["place"] == 1, F.when(x["stop"], 2).otherwise(1)).when(
+            (s["place"] == 0) & x["start"], 1).otherwise(s["place"])
+        blank = x["line"] == ""
+        pair = inside & s["open"].isNotNull() & x["names"]
+        item = F.struct(s["open"].alias("affiliation"), author_list(x["line"]).alias("authors"))
+        waiting = F.when(inside & blank, s["open"]).when(inside & ~pair & x["aff"], x["line"]).otherwise(none)
+        return F.struct(place.alias("place"), waiting.alias("open"),
+                        F.when(pair, F.array_append(s["out"], item)).otherwise(s["out"]).alias("out"))
+    return F.aggregate(facts, zero, step, lambda s: s["out"])
 
 
 def correspondence_names(text: Column) -> Column:
