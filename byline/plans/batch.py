@@ -1,4 +1,4 @@
-"""The whole batch as one declarative plan."""
+"""The whole batch: one plan per step, checkpointed between steps."""
 
 from __future__ import annotations
 
@@ -19,6 +19,7 @@ from byline.operators.keywords import papers_with_school, school_keywords, with_
 from byline.operators.linkage import link_authors
 from byline.operators.memory import memory_signals
 from byline.schemas import EVIDENCE_COLUMNS
+from byline.session import cut_lineage
 from byline.sources.pages import sidecar_authors, tooltip_text
 from byline.sources.works import (openalex_authors, openalex_names, registry_authors, registry_names,
                                   registry_papers)
@@ -55,14 +56,14 @@ def adjudicate(registry: DataFrame, vision: DataFrame, texts: DataFrame, papers:
                failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Fuse, link and decide; returns (decided authors, paper statuses)."""
     fused = fuse_registry_vision(registry, vision)
-    scored = evidence_scores(fused, registry, vision)
+    scored = cut_lineage(evidence_scores(fused, registry, vision))
     keywords = school_keywords(faculty, school_words)
     hits = with_school_hit(scored, keywords, ["doi", "pos"])
-    linked = link_authors(hits, faculty)
+    linked = cut_lineage(link_authors(cut_lineage(hits), faculty))
     tokens = texts.select("doi", fingerprint(F.col("text"), max_chars=EVIDENCE_CHARS).alias("tokens"))
     linked = (linked.join(memory_signals(tokens, memory), "doi", "left")
               .na.fill(0, ["memory_hint_count"]).na.fill(0.0, ["memory_top_score"]))
-    decided = decide_authors(linked, faculty)
+    decided = cut_lineage(decide_authors(linked, faculty))
     school = papers_with_school(registry, keywords)
     statuses = (paper_statuses(decided, papers, failed).join(school, "doi", "left")
                 .withColumn("has_school_aff", F.coalesce("has_school_aff", F.lit(False))))
@@ -77,18 +78,20 @@ def vision_evidence(ocr: DataFrame, hover: DataFrame, registry: DataFrame, names
         F.col("meta.citation_author_institution")).alias("institutions")).where("institutions IS NOT NULL"))
     texts = ocr.select("doi", F.col("ocr_text").alias("text")).join(complete, "doi", "left_anti")
     read = normalise_authors(extract_author_markers(texts, names, meta)).select(EVIDENCE_COLUMNS)
-    vision = merge_hover(read, hover)
+    vision = cut_lineage(merge_hover(cut_lineage(read), hover))
     tips = tooltip_text(pages).join(texts.select("doi"), "doi", "left_anti")
     all_texts = texts.unionByName(tips)
     maps = resolve_affiliation_maps(
         texts.sparkSession.createDataFrame([], "doi STRING, num INT, affiliation STRING"), all_texts, meta)
-    return map_numbers(vision, maps).select(EVIDENCE_COLUMNS), all_texts
+    return cut_lineage(map_numbers(vision, maps).select(EVIDENCE_COLUMNS)), all_texts
 
 
 def run_batch(inputs: BatchInputs) -> BatchResult:
-    """Admission, flattening, text extraction, fusion, linking and decisions, lazily.
+    """Admission, flattening, text extraction, fusion, linking and decisions.
 
-    Nothing runs until a result is written. DOIs without a landed work end as ERROR.
+    Author tables that several later steps read are checkpointed once (see
+    ``cut_lineage``), so no step is computed twice and a lost executor costs one step.
+    DOIs without a landed work end as ERROR.
     """
     actions = admit_batch(inputs.requests, inputs.papers, inputs.strategy)
     todo = actions.where("action = 'process'").select("doi").distinct()
@@ -98,8 +101,8 @@ def run_batch(inputs: BatchInputs) -> BatchResult:
 
     works, alex = due(inputs.works), due(inputs.openalex)
     meta = registry_papers(works, alex)
-    registry = enrich_registry(registry_authors(works), openalex_authors(alex).join(
-        works.select("doi"), "doi", "left_semi"))
+    registry = cut_lineage(enrich_registry(registry_authors(works), openalex_authors(alex).join(
+        works.select("doi"), "doi", "left_semi")))
     pages = due(inputs.page_sidecars)
     names = (registry_names(works).join(openalex_names(alex).withColumnRenamed("names", "_oa"), "doi", "left")
              .select("doi", F.when(F.size("names") > 0, F.col("names")).otherwise(F.col("_oa")).alias("names")))
