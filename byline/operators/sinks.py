@@ -55,7 +55,7 @@ def write_paper_authors(fresh: DataFrame, dois: DataFrame, path: str, buckets: i
         stored = spark.read.schema(PAPER_AUTHORS + ", bucket INT").parquet(path)
         touched = stored.join(keyed.select("bucket").distinct(), "bucket", "left_semi")
         kept = touched.join(keyed.select(F.col("doi").alias("paper_doi")), "paper_doi", "left_anti")
-        add = cut_lineage(kept.unionByName(add))
+        add = cut_lineage(kept.unionByName(add, allowMissingColumns=True))
         # A bucket left without rows is not rewritten by a dynamic overwrite.
         empty = keyed.select("bucket").distinct().join(add.select("bucket").distinct(), "bucket", "left_anti")
         _drop_buckets(empty, path)
