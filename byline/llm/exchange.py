@@ -18,9 +18,11 @@ def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def pack(block: int, keys: np.ndarray, ranges: int, **values: np.ndarray) -> pa.Table:
-    """One row per range that ascending ``keys`` touch: range, block, keys and the values, as bytes."""
-    where = range_of(keys, ranges)
+def pack(block: int, keys: np.ndarray, ranges: int, where: np.ndarray | None = None, **values: np.ndarray) -> pa.Table:
+    """One row per range that ascending ``keys`` touch: range, block, keys and the values, as bytes.
+
+    ``where`` gives the ranges (ascending) of keys that are no hashes."""
+    where = range_of(keys, ranges) if where is None else where
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
     spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
     columns = {"range": pa.array([int(where[a]) for a, _ in spans], pa.int32()), "block": pa.array([block] * len(spans), pa.int32())}
