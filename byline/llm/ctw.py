@@ -334,7 +334,7 @@ def _score(depth: int, all_tokens: int, distinct: int, ends: int):
     return run
 
 
-def score_texts(docs: DataFrame, depth: int = 4, folds: int = 10, id_col: str = "doc_id", text_col: str = "text",
+def score_texts(docs: DataFrame, depth: int = 5, folds: int = 10, id_col: str = "doc_id", text_col: str = "text",
                 block_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of ``docs``: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``,
     ``score``, ``n_bytes`` and ``bits_per_byte``.

@@ -35,11 +35,12 @@ def drop_boilerplate(pages: DataFrame, max_ratio: float = 0.3, min_pages: int =
     made = ["host", "n_lines", "n_dropped", "kept_text"]
     rows = staged(pages.drop(*made).withColumns({"host": host_and_path(F.col(url_col))[0], "_lines": page_lines(F.col(html_col))}).drop(html_col))
     sites = rows.where("host <> ''")
-    totals = sites.groupBy("host").agg(F.count(F.lit(1)).alias("_pages")).where(F.col("_pages") >= min_pages)
+    # stored tables on the small side leave the joins free to split a host that holds a third of the pages
+    totals = staged(sites.groupBy("host").agg(F.count(F.lit(1)).alias("_pages")).where(F.col("_pages") >= min_pages))
     held = (sites.select("host", F.explode(F.array_distinct(F.transform("_lines", lambda x: F.xxhash64(x)))).alias("_line"))
-            .groupBy("host", "_line").agg(F.count(F.lit(1)).alias("_n")))
-    common = (held.join(totals, "host").where(F.col("_n") > F.col("_pages") * F.lit(max_ratio))
-              .groupBy("host").agg(F.collect_list("_line").alias("_common")))
+            .groupBy("host", "_line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_pages * max_ratio))
+    over = staged(held.join(totals, "host").where(F.col("_n") > F.col("_pages") * F.lit(max_ratio)).select("host", "_line"))
+    common = staged(over.groupBy("host").agg(F.collect_list("_line").alias("_common")))
     joined = rows.join(common, "host", "left")
     kept = F.when(F.col("_common").isNull(), F.col("_lines")).otherwise(
         F.filter("_lines", lambda x: ~F.array_contains(F.col("_common"), F.xxhash64(x))))
