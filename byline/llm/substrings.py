@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from byline.llm import exchange
 from byline.llm.staging import block_count, in_blocks, text_or_empty
-from byline.llm.words import Words, runs, smallest, words_of
+from byline.llm.words import Words, mix, runs, smallest, words_of
 
 NO_ID = np.iinfo(np.int64).max
 PACKED = "range int, block int, keys binary"
@@ -41,7 +41,7 @@ class _Windows:
         half = (window + 1) // 2
         anchors = smallest(runs(h, half), window - half + 1)
         whole = np.flatnonzero(row[:max(0, len(row) - window + 1)] == row[window - 1:])
-        self.anchor, self.hash = anchors[whole], runs(h, window)[whole]
+        self.anchor, self.hash = mix(anchors[whole]), runs(h, window)[whole]  # least values are spread again over all ranges
         self.row, self.at = row[whole], whole
         self.doc = self.ids[self.row]
         self.place = whole - self.words.first[self.row]
