@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from byline.llm import bpe, ctw, exact, lines, mixing, ordermin, substrings, urls
+from byline.llm import bpe, ctw, exact, lines, mixing, ordermin, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -134,3 +134,11 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.withColumn("held_out", toxicity.held_out("doc_id", 5)), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
