@@ -31,7 +31,7 @@ from byline.llm.words import text_bytes, words_of
 GRAM, WORD = 0, 1
 END = 255  # a byte that UTF-8 texts never hold
 PIECE = 1 << 22  # bytes looked at together
-DIRECT = 1 << 25  # largest table of pairs; beyond it they are sorted
+DIRECT = 1 << 24  # largest table of pairs; beyond it they are sorted
 _SPREAD, _BACK = 40503, pow(40503, -1, 1 << 16)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -46,7 +46,8 @@ def lowered(column: pa.Array) -> pa.Array:
 def _dense(codes: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray]:
     """(the distinct codes in order, the place of each code among them)."""
     if space > DIRECT:
-        return np.unique(codes, return_inverse=True)
+        distinct, at = np.unique(codes, return_inverse=True)
+        return distinct, at.astype(np.int32)
     seen = np.zeros(space, bool)
     seen[codes] = True
     distinct = np.flatnonzero(seen)
@@ -77,8 +78,8 @@ def grams(column: pa.Array, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray
     whole[text] = data
     for a in range(depth, max(len(whole), depth), PIECE):
         part = whole[a - depth:a + PIECE]
-        letters, place = np.unique(part, return_inverse=True)
-        n, place = len(letters), place.astype(np.int64)
+        letters, place = _dense(part, 256)
+        n = len(letters)
         ids, known = place, [letters.astype(np.uint64)]  # known: the bytes of each distinct run, oldest first
         for k in range(1, depth + 1):
             distinct, ids = _dense(ids[:-1].astype(np.int64) * n + place[k:], len(known[0]) * n)
@@ -114,7 +115,7 @@ def _counted(column: pa.Array, block: int, depth: int, ranges: int) -> pa.Table:
     words, n_words = np.unique(words_of(low).hash, return_counts=True)
     parts = []
     for kind, k, n, where in ((GRAM, keys, counts, _where(keys, depth, ranges)), (WORD, words, n_words, None)):
-        t = exchange.pack(block, k, ranges, where, counts=n.astype(np.int64))
+        t = exchange.pack(block, k, ranges, where, counts=n.astype(np.int32))
         parts.append(t.append_column("kind", pa.array([kind] * t.num_rows, pa.int32())))
     return pa.concat_tables(parts)
 
@@ -143,8 +144,9 @@ def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     out = []
     for kind in (GRAM, WORD):
         part = table.filter(pa.compute.equal(table["kind"], kind))
-        keys, counts = _summed(*exchange.unpack(part, keys=np.uint64, counts=np.int64))
-        out.append((key[0].as_py(), kind, keys.tobytes(), counts.tobytes()))
+        keys, counts = exchange.unpack(part, keys=np.uint64, counts=np.int32)
+        keys, counts = _summed(keys, counts.astype(np.int64))
+        out.append((key[0].as_py(), kind, exchange.put(keys), exchange.put(counts)))
     where, kind, keys, counts = zip(*out, strict=True)
     return pa.table({"range": pa.array(where, pa.int32()), "kind": pa.array(kind, pa.int32()), "keys": pa.array(keys, pa.binary()),
                      "counts": pa.array(counts, pa.binary())})
@@ -219,8 +221,8 @@ def _top_sums(depth: int):
     """Per node of depth 1: the bytes counted there and the log probabilities of its children."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, counts in zip(batch.column("keys"), batch.column("counts"), strict=True):
-                keys, counts = np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.int64)
+            for r in range(batch.num_rows):
+                keys, counts = exchange.unpack(batch.slice(r, 1), keys=np.uint64, counts=np.int64)
                 if not len(keys):
                     continue
                 levels, _ = _levels(keys, counts, depth)
@@ -283,34 +285,35 @@ def _asked(depth: int, ranges: int):
 def _answered(depth: int, top):
     def run(key: tuple[pa.Scalar, ...], asked: pa.Table, counts: pa.Table) -> pa.Table:
         """To every block that asks: the scores of its grams and the counts of its words."""
-        block, kinds, sent, got = [], [], [], []
+        block, kinds, got = [], [], []
         for kind in (GRAM, WORD):
             part = asked.filter(pa.compute.equal(asked["kind"], kind))
             if not part.num_rows:
                 continue
             known, n = exchange.unpack(counts.filter(pa.compute.equal(counts["kind"], kind)), keys=np.uint64, counts=np.int64)
-            wanted = [np.frombuffer(x.as_buffer(), np.uint64) for x in part["keys"]]
+            wanted = exchange.unpack(part, keys=np.uint64)[0]
             if kind == GRAM:
-                keys = np.union1d(known, np.concatenate(wanted))
+                keys = np.union1d(known, wanted)
                 times = np.zeros(len(keys), np.int64)
                 times[np.searchsorted(keys, known)] = n
-                value = gram_scores(keys, times, depth, top.value)
-                answers = [value[np.searchsorted(keys, x)] for x in wanted]
+                answers = gram_scores(keys, times, depth, top.value)[np.searchsorted(keys, wanted)].astype(np.float32)
             else:
-                answers = [np.where((at := exchange.find(known, x)) >= 0, n[at] if len(n) else 0, 0).astype(np.float64) for x in wanted]
-            block += part["block"].to_pylist()
-            kinds += [kind] * part.num_rows
-            sent += part["keys"].to_pylist()
-            got += [x.astype(np.float32 if kind == GRAM else np.float64).tobytes() for x in answers]
-        return pa.table({"block": pa.array(block, pa.int32()), "kind": pa.array(kinds, pa.int32()), "keys": pa.array(sent, pa.binary()),
-                         "answers": pa.array(got, pa.binary())})
+                at = exchange.find(known, wanted)
+                answers = np.where(at >= 0, n[at], 0) if len(n) else np.zeros(len(wanted), np.int64)
+            origin = exchange.origins(part)
+            for i, at in exchange.by_row(np.arange(len(wanted)), origin, part.num_rows):
+                block.append(part["block"][i].as_py())
+                kinds.append(kind)
+                got.append(exchange.put(answers[at]))
+        return pa.table({"range": pa.array([key[0].as_py()] * len(block), pa.int32()), "block": pa.array(block, pa.int32()),
+                         "kind": pa.array(kinds, pa.int32()), "answers": pa.array(got, pa.binary())})
     return run
 
 
-def _lookup(answers: pa.Table, kind: int, value: type) -> tuple[np.ndarray, np.ndarray]:
-    keys, values = exchange.unpack(answers.filter(pa.compute.equal(answers["kind"], kind)), keys=np.uint64, answers=value)
-    order = np.argsort(keys, kind="stable")
-    return keys[order], values[order].astype(np.float64)
+def _answers(answers: pa.Table, kind: int, value: type) -> np.ndarray:
+    """The answers to a block's ascending keys: those of its ranges in order."""
+    part = answers.filter(pa.compute.equal(answers["kind"], kind)).sort_by("range")
+    return exchange.unpack(part, answers=value)[0].astype(np.float64)
 
 
 def _score(depth: int, all_tokens: int, distinct: int, ends: int):
@@ -318,13 +321,13 @@ def _score(depth: int, all_tokens: int, distinct: int, ends: int):
         docs = docs.combine_chunks()
         low = lowered(docs.column("_text").combine_chunks())
         n = docs.num_rows
-        keys, values = _lookup(answers, GRAM, np.float32)
-        score = np.zeros(n)
-        for code, ids, row in grams(low, depth):
-            score += np.bincount(row, values[np.maximum(exchange.find(keys, code), 0)][ids], n)
+        score, pieces = np.zeros(n), list(grams(low, depth))
+        asked = np.unique(np.concatenate([np.zeros(0, np.uint64), *(code[np.bincount(ids, minlength=len(code)) > 0] for code, ids, _ in pieces)]))
+        values = _answers(answers, GRAM, np.float32)
+        for code, ids, row in pieces:
+            score += np.bincount(row, values[np.maximum(exchange.find(asked, code), 0)][ids], n)
         words = words_of(low)
-        keys, values = _lookup(answers, WORD, np.float64)
-        times = values[exchange.find(keys, words.hash)] if len(words.hash) else np.zeros(0)
+        times = _answers(answers, WORD, np.int64)[np.unique(words.hash, return_inverse=True)[1]] if len(words.hash) else np.zeros(0)
         total = log10(all_tokens + 0.1 * (distinct + 1))
         base = np.bincount(words.row, np.log10(times + 0.1) - total, n) + log10(ends + 0.1) - total
         known = np.bincount(words.row, times > 0, n).astype(np.int64) + (ends > 0)
@@ -368,7 +371,7 @@ def score_texts(docs: DataFrame, depth: int = 5, folds: int = 10, id_col: str =
     dealt = in_blocks(rows, ["_id", "_text"], ranges).groupBy("block")
     asked = dealt.applyInArrow(_asked(depth, ranges), "range int, block int, keys binary, kind int")
     answers = asked.groupBy("range").cogroup(counts.groupBy("range")).applyInArrow(
-        _answered(depth, top), "block int, kind int, keys binary, answers binary")
+        _answered(depth, top), "range int, block int, kind int, answers binary")
     id_type = rows.schema["_id"].dataType.simpleString()
     scored = dealt.cogroup(answers.groupBy("block")).applyInArrow(
         _score(depth, words + ends, distinct + (ends > 0), ends),
@@ -380,6 +383,6 @@ def score_texts(docs: DataFrame, depth: int = 5, folds: int = 10, id_col: str =
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and distinct words of each range."""
     for batch in batches:
-        counts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("counts")]
+        counts = [exchange.unpack(batch.slice(r, 1), counts=np.int64)[0] for r in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in counts], pa.int64()), pa.array([len(x) for x in counts], pa.int64())],
                                          ["n", "distinct"])

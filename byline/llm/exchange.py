@@ -27,16 +27,27 @@ def pack(block: int, keys: np.ndarray, ranges: int, where: np.ndarray | None = N
     spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
     columns = {"range": pa.array([int(where[a]) for a, _ in spans], pa.int32()), "block": pa.array([block] * len(spans), pa.int32())}
     for name, x in {"keys": keys, **values}.items():
-        columns[name] = pa.array([x[a:b].tobytes() for a, b in spans], pa.binary())
+        columns[name] = pa.array([put(x[a:b]) for a, b in spans], pa.binary())
     return pa.table(columns)
 
 
+def put(x: np.ndarray) -> bytes:
+    """An array's bytes, all first bytes before all second ones: ascending keys and small numbers then compress."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
 def unpack(table: pa.Table, **types) -> list[np.ndarray]:
     """The packed columns of all rows, one after the other; ``types`` maps column names to array types."""
     out = []
     for name, kind in types.items():
-        parts = [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
-        out.append(np.concatenate(parts) if parts else np.zeros(0, kind))
+        width = np.dtype(kind).itemsize
+        parts = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column(name)]
+        whole, at = np.empty((sum(map(len, parts)) // width, width), np.uint8), 0
+        for part in parts:
+            n = len(part) // width
+            whole[at:at + n] = part.reshape(width, n).T
+            at += n
+        out.append(whole.view(kind).ravel())
     return out
 
 

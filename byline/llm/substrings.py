@@ -78,7 +78,7 @@ def _shared_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     blocks, out, sent = table.column("block"), [], []
     for i, at in exchange.by_row(np.flatnonzero(chosen), origin, table.num_rows):
         out.append(blocks[i].as_py())
-        sent.append(keys[at].tobytes())
+        sent.append(exchange.put(keys[at]))
     return pa.table({"range": pa.array([key[0].as_py()] * len(out), pa.int32()), "block": pa.array(out, pa.int32()),
                      "keys": pa.array(sent, pa.binary())})
 
@@ -111,7 +111,7 @@ def _references(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     chosen = np.flatnonzero((doc > doc[first]) | others)
     blocks, rows = table.column("block"), []
     for i, at in exchange.by_row(chosen, origin, table.num_rows):
-        rows.append((blocks[i].as_py(), keys[at].tobytes(), doc[first[at]].tobytes(), place[first[at]].tobytes()))
+        rows.append((blocks[i].as_py(), exchange.put(keys[at]), exchange.put(doc[first[at]]), exchange.put(place[first[at]])))
     block, sent, ref, where = zip(*rows, strict=True) if rows else ((), (), (), ())
     return pa.table({"range": pa.array([key[0].as_py()] * len(rows), pa.int32()), "block": pa.array(block, pa.int32()),
                      "keys": pa.array(sent, pa.binary()), "doc": pa.array(ref, pa.binary()), "place": pa.array(where, pa.binary())})
