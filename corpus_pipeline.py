@@ -9,15 +9,29 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from byline.llm import bpe, exact, mixing
+from pyspark.sql import functions as F
+
+from byline.llm import bpe, exact, mixing, ordermin, toxicity
 from byline.llm.staging import staged
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5 stay. The classifier learns from the labelled rows of the folder's tables."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), labels)
+    return toxicity.score(docs, model, score_col="_toxicity").where(F.col("_toxicity") < 0.5).drop("_toxicity")
+
+
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays, that with the largest doc_id."""
     return exact.drop_exact_duplicates(docs)
 
 
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays, that with the least doc_id."""
+    return ordermin.drop_near_duplicates(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.repeated(mixing.mixed(docs)).select(*docs.columns)
@@ -28,7 +42,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("exact dedup", drop_exact), ("mixing", mix), ("bpe", tokenise)]
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_exact), ("near dedup", drop_near), ("mixing", mix), ("bpe", tokenise)]
 #: The classifier, the sketches and the tokenizer have no SQL: tests hold the stages against brute force.
 ORACLE_SQL = None
 
