@@ -7,8 +7,10 @@ an entry are candidates; a banded alignment of the shingle sequences decides. Th
 shingles: aligned / (shingles of both - aligned); texts link at ``threshold`` or more.
 
 Nothing is paired within a bucket at first: each text is verified against the least one of its buckets, and what links
-collapses. Only buckets that still hold several components are then compared across components, in tiles of bounded
-size, by short MinHash signatures, and what passes is aligned too. Equal texts are one node throughout.
+collapses. Components that still share buckets, and whose short MinHash signatures do not rule a link out, form
+families. A family is compared across its components in tiles of bounded size: one matrix product counts the common
+shingles of all pairs of a tile, and only pairs with enough of them are aligned. Tiles give back links enough to
+join components, never pairs. Equal texts are one node throughout.
 """
 
 from __future__ import annotations
@@ -27,8 +29,7 @@ from byline.llm.words import mix, runs, words_of
 SIGNATURE = 64
 #: A signature may fall this many standard deviations short of the threshold before its pair is dismissed.
 SLACK = 5.0
-TILE = 2048
-HUB = 64
+TILE, HUB = 256, 64
 PIECE = 1 << 22
 _draw = np.random.Generator(np.random.PCG64(71))
 _XOR, _TIMES = _draw.integers(0, 1 << 63, (2, 1024), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,27 +137,76 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[list[d
         yield held
 
 
-def _tile_pairs(threshold: float):
-    """Pairs of different components within a tile that sizes and signatures allow."""
+def _forest(links: Iterator[tuple[int, int]], up: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Those of the links that join what was apart; ``up`` maps to components and is brought up to date."""
+    for x, y in links:
+        a, b = up[x], up[y]
+        if a != b:
+            up[up == b] = a
+            yield x, y
+
+
+def _family_links(threshold: float):
+    """Within a tile of a bucket, labels joined by pairs that sizes and signatures allow: one less than labels at most."""
     least = _least_equal(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, ["key", "i", "j"]):
             sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(-1, SIGNATURE)
             size, part = np.array([r["size"] for r in rows]), np.array([r["part"] for r in rows])
-            label = np.unique([r["label"] for r in rows], return_inverse=True)[1]
+            names, label = np.unique([r["label"] for r in rows], return_inverse=True)
             i, j = rows[0]["i"], rows[0]["j"]
-            left = np.flatnonzero(part == i)
-            right = left if i == j else np.flatnonzero(part == j)
-            a, b = [], []
-            for x in left.tolist():
-                ok = (label[right] != label[x]) & (np.minimum(size[right], size[x]) >= threshold * np.maximum(size[right], size[x]) - 1e-9)
-                at = right[ok]
-                for y in at[(sig[at] == sig[x]).sum(1) >= least].tolist():
-                    low, high = sorted((rows[x]["node"], rows[y]["node"]))
-                    a.append(low)
-                    b.append(high)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            right = np.flatnonzero(part == j)
+            up, out = np.arange(len(names)), []
+            for x in np.flatnonzero(part == i).tolist():
+                at = right[up[label[right]] != up[label[x]]]
+                at = at[np.minimum(size[at], size[x]) >= threshold * np.maximum(size[at], size[x]) - 1e-9]
+                at = at[(sig[at] == sig[x]).sum(1) >= least]
+                out += _forest(((label[x], label[y]) for y in at.tolist()), up)
+            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x, _ in out], pa.binary()), pa.array([names[y] for _, y in out], pa.binary())], ["a", "b"])
+    return run
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray], cells: int = 1 << 23) -> np.ndarray:
+    """How many values each of ``a`` has in common with each of ``b``; values of one array differ."""
+    flat = np.concatenate(a + b)
+    row = np.repeat(np.arange(len(a) + len(b)), list(map(len, a + b)))
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    more = times[column] > 1
+    _, column = np.unique(column[more], return_inverse=True)
+    row, out = row[more], np.zeros((len(a), len(b)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = max(1, cells // (len(a) + len(b)))
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [start, start + width])
+        held = np.zeros((len(a) + len(b), width), np.float32)
+        held[row[lo:hi], column[lo:hi] - start] = 1
+        out += held[:len(a)] @ held[len(a):].T
+    return out
+
+
+def _tile_links(width: int, threshold: float):
+    """Within a tile of a family, verified links that join components that were apart."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ["family", "kind", "i", "j"]):
+            words = words_of(pa.array([r["text"] for r in rows], pa.string()))
+            cut = [shingles(words.hash[words.of(k)], width) for k in range(len(rows))]
+            marked = [labelled(x) for x in cut]
+            up = np.unique([r["label"] for r in rows], return_inverse=True)[1]
+            left = [k for k, r in enumerate(rows) if r["left"]]
+            right = [k for k, r in enumerate(rows) if r["right"]]
+            out = []
+            if left and right:
+                size = np.array(list(map(len, cut)))
+                common = common_counts([marked[k] for k in left], [marked[k] for k in right])
+                need = threshold / (1 + threshold) * (size[left][:, None] + size[right][None, :]) - 1e-9
+                r, c = np.nonzero((common >= need) & (up[left][:, None] != up[right][None, :]))
+                for x, y in zip(np.array(left)[r].tolist(), np.array(right)[c].tolist(), strict=True):
+                    if up[x] != up[y] and aligned_enough(cut[x], cut[y], threshold):
+                        up[up == up[y]] = up[x]
+                        out.append((rows[x]["node"], rows[y]["node"]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
     return run
 
 
@@ -258,23 +308,49 @@ def _classes(tagged: DataFrame, width: int, threshold: float, sketches: int, pic
     likely = staged(stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_may_match(threshold), "a binary, b binary"))
     edges = _verified(likely, rows, width, threshold)
     label = components(edges)
-    # buckets whose texts are not one component yet
-    named = held.where("n > 2").join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).select("key", "node", "label")
-    named = staged(named)
-    mixed = staged(named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"))
-                   .where("x <> y").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("parts")))
-    split = (named.join(mixed, "key").join(known.select("node", "size", "sig"), "node")
-             .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    tiles = (split.withColumn("other", other).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-             .select("key", "i", "j", "part", "node", "label", "size", "sig")
-             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
-    across = staged(tiles.mapInArrow(_tile_pairs(threshold), "a binary, b binary").distinct().join(likely, ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        more = _verified(across, rows, width, threshold)
+    more = _across(held, known, label, rows, width, threshold)
+    if more is not None:
         label = components(edges.unionByName(more))
     placed = staged(members.join(label, "node", "left").select("id", "_tag", F.coalesce("component", "node").alias("class")))
     first = F.min(F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"), F.col("_tag").alias("tag")))
     classes = staged(placed.groupBy("class").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size")))
     return placed.join(classes, "class").select(
         F.col("id").alias(id_col), "_tag", F.col("first.id").alias("class_id"), "class_size", (F.col("first.tag") == F.col("_tag")).alias("kept"))
+
+
+def _across(held: DataFrame, known: DataFrame, label: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame | None:
+    """Links between texts of one bucket that the comparison with its least text left in different components."""
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    named = staged(held.where("n > 2").select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")))
+    mixed = staged(named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"))
+                   .where("x <> y").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("parts")))
+    tiles = (named.join(mixed, "key").join(known.select("node", "size", "sig"), "node")
+             .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", each("parts"))
+             .withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+             .select("key", "i", "j", "part", "label", "size", "sig")
+             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
+    family = components(tiles.mapInArrow(_family_links(threshold), "a binary, b binary"))
+    if family.isEmpty():
+        return None
+    family = family.select(F.col("node").alias("label"), F.col("component").alias("family"))
+    member = staged(known.select("node").join(label, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
+                    .join(family, "label").select("node", "label", "family"))
+    # the largest component of a family is not compared with itself: only its other texts meet it and each other
+    sizes = staged(member.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n")))
+    cores = staged(sizes.groupBy("family").agg(F.max(F.struct("n", "label")).alias("core"), F.sum("n").alias("all"))
+                   .select("family", F.col("core.label").alias("core"), F.ceil(F.col("core.n") / TILE).cast("int").alias("cores"),
+                           F.ceil((F.col("all") - F.col("core.n")) / TILE).cast("int").alias("rests")))
+    sided = member.join(cores, "family").withColumn("in_core", F.col("label") == F.col("core"))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    keep = ["family", "kind", "i", "j", "node", "label", "left", "right"]
+    yes, no = F.lit(True), F.lit(False)
+    rest = sided.where("not in_core").withColumn("part", part("rests"))
+    core_side = sided.where("in_core").withColumns({"kind": F.lit(1), "i": part("cores"), "left": yes, "right": no}).withColumn("j", each("rests"))
+    rest_side = rest.withColumns({"kind": F.lit(1), "j": F.col("part"), "left": no, "right": yes}).withColumn("i", each("cores"))
+    among = rest.withColumn("other", each("rests")).withColumns(
+        {"kind": F.lit(0), "i": F.least("part", "other"), "j": F.greatest("part", "other"),
+         "left": F.col("part") <= F.col("other"), "right": F.col("part") >= F.col("other")})
+    asked = core_side.select(keep).unionByName(rest_side.select(keep)).unionByName(among.select(keep))
+    texts = staged(rows.join(member.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    dealt = asked.join(texts, "node").repartition("family", "kind", "i", "j").sortWithinPartitions("family", "kind", "i", "j")
+    return staged(dealt.mapInArrow(_tile_links(width, threshold), "a binary, b binary"))
