@@ -23,11 +23,8 @@ def attribution_report(papers: DataFrame, paper_authors: DataFrame, faculty: Dat
 
 def report_counts(report: DataFrame) -> DataFrame:
     """One row: distinct papers, distinct people, most frequent department or N/A."""
-    totals = report.agg(F.count_distinct("doi").alias("papers"), F.count_distinct("employee_id").alias("people"))
-    top = department_counts(report).agg(
-        F.min(F.struct((-F.col("n")).alias("n"), "department")).alias("t"))
-    return totals.select("papers", "people", F.coalesce(
-        top.select("t.department").scalar(), F.lit("N/A")).alias("top_department"))
+    return report.agg(F.count_distinct("doi").alias("papers"), F.count_distinct("employee_id").alias("people"),
+                      F.coalesce(F.mode("department", True), F.lit("N/A")).alias("top_department"))
 
 
 def department_counts(report: DataFrame) -> DataFrame:

@@ -10,9 +10,6 @@ from byline.operators.details import PART
 from byline.schemas import PAPER_AUTHORS
 from byline.session import cut_lineage
 
-MAX_TEXT = 4000
-MAX_ITEMS = 500
-
 
 def replace_authors(existing: DataFrame, fresh: DataFrame, dois: DataFrame) -> DataFrame:
     """paper_authors after deleting all rows of ``dois`` and adding ``fresh``."""
@@ -56,11 +53,14 @@ def write_paper_authors(fresh: DataFrame, dois: DataFrame, path: str, buckets: i
         touched = stored.join(keyed.select("bucket").distinct(), "bucket", "left_semi")
         kept = touched.join(keyed.select(F.col("doi").alias("paper_doi")), "paper_doi", "left_anti")
         add = cut_lineage(kept.unionByName(add, allowMissingColumns=True))
-        # A bucket left without rows is not rewritten by a dynamic overwrite.
-        empty = keyed.select("bucket").distinct().join(add.select("bucket").distinct(), "bucket", "left_anti")
-        _drop_buckets(empty, path)
+        # A bucket left without rows is not rewritten by a dynamic overwrite; it goes last, when all else is stored.
+        empty = cut_lineage(keyed.select("bucket").distinct().join(add.select("bucket").distinct(), "bucket", "left_anti"))
+    else:
+        empty = None
     (add.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("bucket").parquet(path))
+    if empty is not None:
+        _drop_buckets(empty, path)
 
 
 def table_exists(spark, path: str) -> bool:
@@ -121,16 +121,18 @@ def parse_box(box: Column) -> Column:
     return F.transform(points, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
 
 
-def sidecar_records(pages: DataFrame) -> DataFrame:
-    """OCR sidecars of pages (doi, image_path, ocr_text, ocr_items) cut to size.
+def sidecar_records(pages: DataFrame, max_chars: int | None = None, max_items: int | None = None) -> DataFrame:
+    """OCR sidecars of pages (doi, image_path, ocr_text, ocr_items), whole unless a cut is asked for.
 
     Items hold text, score and a JSON box. Pages without image or text have no sidecar.
     """
-    boxes = F.transform(F.slice("ocr_items", 1, MAX_ITEMS), lambda i: F.struct(
+    items = F.col("ocr_items") if max_items is None else F.slice("ocr_items", 1, max_items)
+    text = F.col("ocr_text") if max_chars is None else F.substring("ocr_text", 1, max_chars)
+    boxes = F.transform(items, lambda i: F.struct(
         F.coalesce(i["text"], F.lit("")).alias("text"), i["score"].alias("score"),
         F.transform(parse_box(i["box"]), lambda p: F.array(p["x"], p["y"])).alias("box")))
     return (pages.where((F.length(strip("image_path")) > 0) & (F.length("ocr_text") > 0))
-            .select("doi", "image_path", F.substring("ocr_text", 1, MAX_TEXT).alias("ocr_text"),
+            .select("doi", "image_path", text.alias("ocr_text"),
                     F.coalesce(boxes, F.array().cast(
                         "array<struct<text:string,score:double,box:array<array<double>>>>")).alias("ocr_items")))
 

@@ -24,8 +24,6 @@ from byline.sources.pages import sidecar_authors, tooltip_text
 from byline.sources.works import (openalex_authors, openalex_names, registry_authors, registry_names,
                                   registry_papers)
 
-EVIDENCE_CHARS = 500
-
 
 @dataclass
 class BatchInputs:
@@ -60,7 +58,7 @@ def adjudicate(registry: DataFrame, vision: DataFrame, texts: DataFrame, papers:
     keywords = school_keywords(faculty, school_words)
     hits = with_school_hit(scored, keywords, ["doi", "pos"])
     linked = cut_lineage(link_authors(cut_lineage(hits), faculty))
-    tokens = texts.select("doi", fingerprint(F.col("text"), max_chars=EVIDENCE_CHARS).alias("tokens"))
+    tokens = texts.select("doi", fingerprint(F.col("text")).alias("tokens"))
     linked = (linked.join(memory_signals(tokens, memory), "doi", "left")
               .na.fill(0, ["memory_hint_count"]).na.fill(0.0, ["memory_top_score"]))
     decided = cut_lineage(decide_authors(linked, faculty))
@@ -76,7 +74,9 @@ def vision_evidence(ocr: DataFrame, hover: DataFrame, registry: DataFrame, names
     complete = hover_complete(hover, registry).where("complete").select("doi")
     meta = (pages.select("doi", usable_meta_institutions(
         F.col("meta.citation_author_institution")).alias("institutions")).where("institutions IS NOT NULL"))
-    texts = ocr.select("doi", F.col("ocr_text").alias("text")).join(complete, "doi", "left_anti")
+    # a blank recognised text is no text: tooltips may stand in for it
+    texts = (ocr.select("doi", F.col("ocr_text").alias("text")).where(F.length(F.trim("text")) > 0)
+             .join(complete, "doi", "left_anti"))
     read = normalise_authors(extract_author_markers(texts, names, meta)).select(EVIDENCE_COLUMNS)
     vision = cut_lineage(merge_hover(cut_lineage(read), hover))
     tips = tooltip_text(pages).join(texts.select("doi"), "doi", "left_anti")

@@ -130,8 +130,8 @@ def result_records(t):
 
 
 @query(r"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents)
-SELECT CAST(doc_id AS VARCHAR) AS doi, doc_id || '.png' AS image_path, md5(substr(text, 1, 4000)) AS text_key,
-       least(len(ls), 500) AS items, md5(array_to_string(ls[1:500], '|')) AS item_key,
+SELECT CAST(doc_id AS VARCHAR) AS doi, doc_id || '.png' AS image_path, md5(text) AS text_key,
+       len(ls) AS items, md5(array_to_string(ls, '|')) AS item_key,
        CAST(doc_id % 100 AS DOUBLE) AS x FROM d WHERE doc_id % 11 <> 0""")
 def sidecar_records(t):
     box = F.concat(F.lit("["), F.col("doc_id") % 100, F.lit(", 2, 30, 4]"))

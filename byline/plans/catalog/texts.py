@@ -78,10 +78,9 @@ def author_name_guesses(t):
 
 
 @query(r"""SELECT doc_id, len(f) AS n, array_to_string(f, ' ') AS tokens FROM (SELECT doc_id,
-  list_filter(regexp_extract_all(lower(CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END),
-  '[a-z0-9]+'), lambda x: length(x) >= 3)[1:200] AS f FROM documents)""")
+  list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3) AS f FROM documents)""")
 def fingerprints(t):
-    return t.documents.select("doc_id", text.fingerprint(F.col("text"), max_chars=500).alias("f")).select(
+    return t.documents.select("doc_id", text.fingerprint(F.col("text")).alias("f")).select(
         "doc_id", F.size("f").alias("n"), F.array_join("f", " ").alias("tokens"))
 
 
@@ -230,9 +229,9 @@ def panel_affiliations(t):
 
 
 FINGERPRINTS = r"""q AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'),
-    lambda x: length(x) >= 3)[1:200]) AS a FROM documents),
+    lambda x: length(x) >= 3)) AS a FROM documents),
 m AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'),
-    lambda x: length(x) >= 3)[1:200]) AS b FROM benchmark),
+    lambda x: length(x) >= 3)) AS b FROM benchmark),
 pairs AS (SELECT doc_id, item_id, len(list_intersect(a, b)) AS c, len(a) + len(b) AS n FROM q, m),
 ranked AS (SELECT doc_id, item_id, c / (n - c) AS score,
   row_number() OVER (PARTITION BY doc_id ORDER BY c / (n - c) DESC, item_id) AS place FROM pairs

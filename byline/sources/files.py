@@ -28,19 +28,35 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return max(DELIMITERS, key=head.count)
 
 
-def read_table(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+def _file_order(df: DataFrame) -> Column:
+    """Row numbers in the order of file names and of lines within a file.
+
+    Spark deals files to tasks by size, so the place of the task says nothing about the order of files; file and
+    block start come first. Only names and starts of input splits are gathered, not rows.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    splits = sorted(tuple(r.at) for r in df.select(at.alias("at")).distinct().collect())
+    if not splits:
+        return F.monotonically_increasing_id()
+    place = F.create_map(*[F.lit(x) for i, (file, start) in enumerate(splits) for x in (f"{file}:{start}", i)])
+    key = F.concat(F.col("_metadata.file_path"), F.lit(":"), F.col("_metadata.file_block_start"))
+    # a task numbers its rows upwards, so within a split the lower 33 bits keep the order of lines
+    return F.element_at(place, key).cast("long") * F.lit(1 << 33) + F.monotonically_increasing_id() % F.lit(1 << 33)
+
+
+def read_table(spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = False) -> DataFrame:
     """A delimited or Excel file with all columns as text, plus ``row_index`` in file order.
 
-    A byte-order mark before the first header is removed. Only the header line reaches
+    ``multi_line`` reads quoted line breaks as part of a cell (one task per file then). A byte-order mark before the first header is removed. Only the header line reaches
     the driver.
     """
     if path.lower().endswith((".xlsx", ".xls")):
         return read_excel(spark, path)
     sep = delimiter or sniff_delimiter(spark, path)
-    df = spark.read.option("header", True).option("sep", sep).option("multiLine", False) \
+    df = spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line) \
         .option("quote", '"').option("escape", '"').csv(path)
-    df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
-    return df.withColumn("row_index", F.monotonically_increasing_id())
+    names = [c.lstrip("﻿").strip() for c in df.columns]
+    return df.withColumn("row_index", _file_order(df)).toDF(*names, "row_index")
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
@@ -74,9 +90,9 @@ def _optional(df: DataFrame, column: str) -> Column:
     return F.col(column) if column in df.columns else F.lit(None).cast("string")
 
 
-def read_roster(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+def read_roster(spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = False) -> DataFrame:
     """(row_index, name_zh, department, employee_id) from Name, Department and ID."""
-    df = read_table(spark, path, delimiter)
+    df = read_table(spark, path, delimiter, multi_line)
     _require(df, ["Name", "Department"])
     return df.select("row_index", strip(F.col("Name")).alias("name_zh"),
                      strip(F.col("Department")).alias("department"),
@@ -98,7 +114,8 @@ def read_doi_table(spark: SparkSession, path: str) -> DataFrame:
 
 def read_doi_text(spark: SparkSession, path: str) -> DataFrame:
     """(input_pos, doi) from lines; blank lines and # comments dropped."""
-    return (spark.read.text(path).withColumn("input_pos", F.monotonically_increasing_id())
+    lines = spark.read.text(path)
+    return (lines.withColumn("input_pos", _file_order(lines))
             .select("input_pos", strip(F.col("value")).alias("doi"))
             .where((F.length("doi") > 0) & ~F.startswith("doi", F.lit("#"))))
 
