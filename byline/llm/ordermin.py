@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from byline.llm.components import components
-from byline.llm.staging import staged, text_or_empty
+from byline.llm.staging import likely_in, staged, text_or_empty
 from byline.llm.words import mix, runs, words_of
 
 SIGNATURE = 64
@@ -258,10 +258,15 @@ def _verify(width: int, threshold: float):
     return run
 
 
+def _texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts of some nodes, once each; the others are left out before the shuffle."""
+    return staged(likely_in(rows, nodes, "node").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
     """Those of the ``pairs`` (a, b) that align. A hub's partners come in parts of about HUB, each with the hub's text."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = staged(rows.join(staged(nodes), "node", "left_semi").dropDuplicates(["node"]))
+    texts = _texts_of(rows, staged(nodes))
     degree = staged(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
     parts = pairs.join(degree, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / HUB)).cast("int")).select("a", "part", "b")
     parts = staged(parts)
@@ -351,6 +356,6 @@ def _across(held: DataFrame, known: DataFrame, label: DataFrame, rows: DataFrame
         {"kind": F.lit(0), "i": F.least("part", "other"), "j": F.greatest("part", "other"),
          "left": F.col("part") <= F.col("other"), "right": F.col("part") >= F.col("other")})
     asked = core_side.select(keep).unionByName(rest_side.select(keep)).unionByName(among.select(keep))
-    texts = staged(rows.join(member.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    texts = _texts_of(rows, member.select("node"))
     dealt = asked.join(texts, "node").repartition("family", "kind", "i", "j").sortWithinPartitions("family", "kind", "i", "j")
     return staged(dealt.mapInArrow(_tile_links(width, threshold), "a binary, b binary"))

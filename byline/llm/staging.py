@@ -40,3 +40,22 @@ def block_count(docs: DataFrame, text: str, block_bytes: int) -> int:
 def in_blocks(rows: DataFrame, key: list[str], blocks: int, name: str = "block") -> DataFrame:
     """Adds a block number drawn from a hash of ``key``, which should differ from row to row."""
     return rows.withColumn(name, F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int"))
+
+
+#: Bits of the filter in ``likely_in``: 2,048 bitmaps of 4 KB, 8 MB in all, whatever the number of keys.
+FILTER_BITS = 1 << 26
+
+
+def likely_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` may be among those of ``keys``: none that is gets lost, most others go before any shuffle.
+
+    The keys are hashed into bitmaps of a fixed size, the only thing that is broadcast. With 3 million keys one in
+    twenty other rows stays; with far more the filter lets everything pass and the join after it does all the work.
+    """
+    place = lambda: F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    maps = (keys.select(place().alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits")))
+    at = rows.withColumn("_at", place()).withColumns({"_bucket": F.bitmap_bucket_number("_at"), "_bit": F.bitmap_bit_position("_at")})
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.call_function("shiftright", byte, (F.col("_bit") % 8).cast("int")) % 2 == 1
+    return at.join(F.broadcast(maps), "_bucket").where(set_).drop("_at", "_bucket", "_bit", "_bits")
