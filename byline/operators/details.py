@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from byline.functions.text import strip
+from byline.operators.ranking import rank_within
 
 PART = 10000
 
@@ -66,5 +67,11 @@ def department_index(staff: DataFrame) -> DataFrame:
     return staff.groupBy("dept_id").agg(F.count(F.lit(1)).alias("staff"))
 
 
+def department_members(staff: DataFrame) -> DataFrame:
+    """(dept_id, place, employee_id): the staff of each department in library order, one row each."""
+    return rank_within(staff.select("dept_id", "lib_order", "employee_id"), ["dept_id"], "lib_order", ["employee_id"], "place") \
+        .select("dept_id", "place", "employee_id")
+
+
 def staff_of(staff: DataFrame, dept_id: str) -> DataFrame:
     return staff.where(F.col("dept_id") == F.lower(strip(F.lit(dept_id))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from byline.functions.text import squeeze, strip
 from byline.operators.candidates import inside_pairs
+from byline.operators.ranking import top_k
 
 # Fixed values.
 REGION_WORDS = ["university", "hospital", "institute", "department", "school", "center", "centre", "college"]
@@ -57,17 +58,19 @@ def numbered_units(c: Column) -> Column:
     return F.least(F.size(F.array_distinct(found)), F.lit(10))
 
 
-def score_blocks(blocks: DataFrame, names: DataFrame) -> DataFrame:
+def score_blocks(blocks: DataFrame, names: DataFrame, max_names: int | None = None,
+                 max_chars: int | None = None) -> DataFrame:
     """Candidate author blocks with their score.
 
-    ``blocks``: (doi, block, text, width, height, top, banned); ``names``: (doi, names
-    ARRAY<STRING>), of which the first twelve usable ones count.
+    ``blocks``: (doi, block, text, width, height, top, banned); ``names``: (doi, names ARRAY<STRING>). All names and
+    blocks of 60 characters or more count, unless ``max_names`` or ``max_chars`` says otherwise.
     """
     raw = strip(F.coalesce("text", F.lit("")))
-    usable = F.slice(F.filter(F.transform(F.coalesce("names", F.array().cast("array<string>")), block_norm),
-                              lambda n: F.length(n) > 0), 1, 12)
+    usable = F.filter(F.transform(F.coalesce("names", F.array().cast("array<string>")), block_norm), lambda n: F.length(n) > 0)
+    usable = usable if max_names is None else F.slice(usable, 1, max_names)
+    short = F.lit(True) if max_chars is None else F.length("raw") <= max_chars
     rows = (blocks.withColumn("raw", raw)
-            .where(~F.coalesce("banned", F.lit(False)) & F.length("raw").between(60, 12000)
+            .where(~F.coalesce("banned", F.lit(False)) & (F.length("raw") >= 60) & short
                    & (F.col("width") >= 360) & (F.col("height") >= 60) & (F.col("top") <= 1800))
             .withColumn("norm", block_norm(F.col("raw"))).where(~F.startswith("norm", F.lit("citation")))
             .withColumn("units", numbered_units(F.col("raw"))).where("units >= 2")
@@ -87,3 +90,9 @@ def rank_blocks(blocks: DataFrame, names: DataFrame) -> DataFrame:
             .agg(F.max_by(F.struct("block", "units", "hits", "score"),
                           F.struct("score", -F.col("block"))).alias("b"))
             .select("doi", "b.block", "b.units", "b.hits", "b.score"))
+
+
+def ranked_blocks(blocks: DataFrame, names: DataFrame, k: int = 8) -> DataFrame:
+    """The ``k`` best blocks per paper with their ``place``; the earlier block wins ties."""
+    best = top_k(score_blocks(blocks, names), ["doi"], [F.col("score").desc(), F.col("block")], k)
+    return best.select("doi", "place", "block", "units", "hits", "score")

@@ -94,6 +94,13 @@ def cached_records(t):
     return admission.cached_records(V.papers(t), V.paper_authors(t))
 
 
+@query(f"""WITH {V.PAPERS}, {V.PAPER_AUTHORS}
+SELECT paper_doi AS doi, rank, raw_name, raw_affiliation, is_corresponding, is_co_first, matched_faculty_id
+FROM paper_authors WHERE paper_doi IN (SELECT doi FROM papers)""")
+def cached_authors(t):
+    return admission.cached_authors(V.papers(t), V.paper_authors(t))
+
+
 @query(f"""WITH {V.PAPERS}, decided AS (
   SELECT '10.1/' || l_orderkey AS doi,
          CASE WHEN l_returnflag = 'A' THEN 'COMPLETED'

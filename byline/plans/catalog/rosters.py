@@ -182,6 +182,12 @@ def department_index(t):
     return details.department_index(_staff(t))
 
 
+@query(f"""WITH {STAFF} SELECT dept_id, employee_id,
+row_number() OVER (PARTITION BY dept_id ORDER BY lib_order, employee_id) AS place FROM staff""")
+def department_members(t):
+    return details.department_members(_staff(t))
+
+
 @query(f"WITH {STAFF} SELECT employee_id, dept_id FROM staff WHERE dept_id = 'machinery'")
 def staff_of_department(t):
     return details.staff_of(_staff(t), " MACHINERY ").select("employee_id", "dept_id")

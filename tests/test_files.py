@@ -2,7 +2,7 @@
 
 from byline.functions import text as T
 from byline.operators import sinks
-from byline.sources import files, pages
+from byline.sources import files, pages, works
 
 
 def test_rows_follow_file_names_not_sizes(spark, tmp_path):
@@ -39,3 +39,11 @@ def test_nothing_is_cut_by_default(spark):
     tags = "".join(f'<meta name="citation_author" content="A {i}">' for i in range(60))
     html = spark.createDataFrame([(1, tags)], "page_id long, html string")
     assert pages.extract_page_meta(html).count() == 60 and pages.extract_page_meta(html, {"author": 50}).count() == 50
+
+
+def test_affiliations_are_objects_or_texts(spark, tmp_path):
+    (tmp_path / "w.json").write_text(
+        '{"doi": "a", "message": {"author": [{"given": "A", "family": "B", "affiliation": ["Plain U"]}, '
+        '{"family": "C", "affiliation": [{"name": "Object U"}]}, {"family": "D", "affiliation": []}, {"family": "E"}]}}\n')
+    got = works.registry_authors(files.read_registry_works(spark, str(tmp_path / "w.json"))).orderBy("pos").collect()
+    assert [(r.name, r.affiliation) for r in got] == [("A B", "Plain U"), ("C", "Object U"), ("D", "Unknown"), ("E", "Unknown")]
