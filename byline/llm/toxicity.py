@@ -24,7 +24,8 @@ from byline.llm.staging import staged, text_or_empty
 LETTERS, TRIPLES = 48, 48 ** 3
 OPENS, CLOSES = 46, 47  # stand before and after a word
 DECAY, SPAN = 0.6, 8
-GAPPED = 3.0
+GAPPED = 3.0  # the margin asked of words with a letter put in
+CAREFUL = 5.0  # what a clean row weighs against a toxic one
 LONGEST, STEP = 24, 12
 MEMORY = 500_000
 SENTENCE = re.compile(r"[.!?|\n]+")
@@ -217,6 +218,16 @@ def _scores(model):
     return run
 
 
+def _worst_rows(model):
+    """The margin of each row's worst word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.value)
+        for batch in batches:
+            worst = [scorer.worst(batch.column("text").slice(a, 128).to_pylist()) for a in range(0, batch.num_rows, 128)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(np.concatenate([np.zeros(0), *worst]))], ["toxic", "worst"])
+    return run
+
+
 def _calibrated(worst: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve of the worst word, goals slightly smoothed."""
     n = np.bincount(toxic, minlength=2)
@@ -285,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = 20
             hard = [against[i] for i in np.argsort(-margins(against, model), kind="stable")[:landmarks]]
         found = sorted(witness.items())
         model = trained(list(dict.fromkeys(marks + hard)), {w: n / toxic for w, n in found}, {g: n / 4 / toxic for w, n in found for g in _gapped(w)},
-                        {w: negative[w] / clean for w in against})
+                        {w: CAREFUL * negative[w] / clean for w in against})
         value = dict(zip(suspects, margins(list(suspects), model).tolist(), strict=True))
         if turn < 2:
             held = spark.sparkContext.broadcast(model)
@@ -295,10 +306,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = 20
     if model is None:
         return Model(np.zeros(TRIPLES), 0.0, 0.0, float(np.log(toxic / clean)))
     held = spark.sparkContext.broadcast(model)
-    raw = rows.select("toxic", F.col("text").alias("_text")).mapInArrow(_scores(held), "toxic int, score double").collect()  # 2 * max_rows at most
-    odds = np.array([r["score"] for r in raw])
-    worst = np.log(odds) - np.log1p(-odds)
-    slope, offset = _calibrated(worst, np.array([r["toxic"] for r in raw]))
+    raw = rows.mapInArrow(_worst_rows(held), "toxic int, worst double").collect()  # 2 * max_rows at most
+    slope, offset = _calibrated(np.array([r["worst"] for r in raw]), np.array([r["toxic"] for r in raw]))
     return model._replace(slope=slope, offset=offset)
 
 

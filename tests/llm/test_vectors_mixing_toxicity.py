@@ -151,6 +151,12 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(s < 0.5 for s in clean[:4]) and clean[4] >= 0.5 and clean[5] < 0.5
 
 
+def test_calibration_of_extreme_margins():
+    worst = np.array([-40.0, -3, -2, 1, 2, 90, 400] * 20)
+    slope, offset = toxicity._calibrated(worst, (worst > 0).astype(int))
+    assert np.isfinite([slope, offset]).all() and slope > 0 and -2 < -offset / slope < 1
+
+
 def test_toxicity_without_examples(spark):
     docs = spark.createDataFrame([(i, "a b") for i in range(20)], "doc_id long, text string")
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
