@@ -259,8 +259,10 @@ def _verify(width: int, threshold: float):
 
 
 def _texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The texts of some nodes, once each; the others are left out before the shuffle."""
-    return staged(likely_in(rows, nodes, "node").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    """The texts of some distinct nodes, once each; the others are left out before the shuffle.
+
+    The join is inner, for the optimizer would move a semi join, and its shuffle, below the filter."""
+    return staged(likely_in(rows, nodes, "node").join(nodes, "node").dropDuplicates(["node"]))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
