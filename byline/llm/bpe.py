@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from byline.llm.staging import text_or_empty
 
 #: Entries a worker remembers at most; a full memory is emptied. Pieces longer than this many characters are not kept.
-MEMORY, MEMORY_CHARS = 600_000, 48
+MEMORY, MEMORY_CHARS = 200_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -27,7 +27,7 @@ DECAY, SPAN = 0.6, 8
 GAPPED = 3.0  # the margin asked of words with a letter put in
 CAREFUL = 5.0  # what a clean row weighs against a toxic one
 LONGEST, STEP = 24, 12
-MEMORY = 500_000
+MEMORY = 200_000
 SENTENCE = re.compile(r"[.!?|\n]+")
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
@@ -146,15 +146,15 @@ def svm(x: np.ndarray, y: np.ndarray, goal: np.ndarray, weight: np.ndarray, ridg
 
 def trained(landmarks: list[str], positive: dict[str, float], gapped: dict[str, float], negative: dict[str, float], ridge: float = 1e-4) -> Model:
     """A machine from example words and their weights. Gapped words lie near clean ones and are asked for a wider margin."""
-    base = _vectors(landmarks)
-    scale, turn = np.linalg.eigh((base @ base.T).astype(np.float64))
+    base = np.ascontiguousarray(_vectors(landmarks).T)
+    scale, turn = np.linalg.eigh((base.T @ base).astype(np.float64))
     keep = scale > 1e-6 * scale.max()
     map_ = turn[:, keep] / np.sqrt(scale[keep])
     words = [*positive, *gapped, *negative]
-    x = _kernel(words, np.ascontiguousarray(base.T)) @ map_
+    x = _kernel(words, base) @ map_
     sizes = [len(positive), len(gapped), len(negative)]
     w = svm(x, np.repeat([1.0, 1.0, -1.0], sizes), np.repeat([1.0, GAPPED, 1.0], sizes), np.array([*positive.values(), *gapped.values(), *negative.values()]), ridge)
-    return Model(base.T @ (map_ @ w[:-1]), float(w[-1]), 1.0, 0.0)
+    return Model((base @ (map_ @ w[:-1]).astype(np.float32)).astype(np.float64), float(w[-1]), 1.0, 0.0)
 
 
 def _gapped(word: str) -> list[str]:
