@@ -3,13 +3,14 @@
 Unit vectors are cut in halves, and each half has a codebook of its own; a cell of the product grid is a pair of
 centroids. A vector visits cells in the order of the multi-sequence traversal, nearest first: a half's distance to the
 members of a centroid is at least its distance to the plane half way between that centroid and its own, and the squares
-of both halves add up. The traversal ends where the target recall is reached: at the distance within which that share
-of the links of some query vectors, compared with all rows, was found. A target of 1 goes on until no further cell can
-hold a link. Vectors of visited cells are verified in tiles by exact cosine in double precision.
+of both halves add up. A target recall of 1 goes on until no further cell can hold a link. A lower target ends the traversal
+at the distance within which that share of some query vectors, compared with all rows and weighing the same whatever the
+number of their links, has all its links. Vectors of visited cells are verified in tiles by exact cosine in double precision.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -135,7 +136,7 @@ def _assign(index):
 
 
 def _needs(index, queries, cosine: float):
-    """How far the traversal of the queries must go for each of their links among some rows."""
+    """How far the traversal of each query must go for all of its links among some rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it, q = index.value, queries.value
         near = it.nearest(q)
@@ -145,7 +146,11 @@ def _needs(index, queries, cosine: float):
                 r, c = np.nonzero(q @ y.T >= cosine)
                 i, j = (batch.column(k).to_numpy() for k in ("i", "j"))
                 other = ~(q[r] == y[c]).all(1)
-                yield pa.RecordBatch.from_arrays([pa.array((near[0][r, i[c]] + near[1][r, j[c]])[other])], ["need"])
+                r, c = r[other], c[other]
+                need = np.full(len(q), -1.0)
+                np.maximum.at(need, r, near[0][r, i[c]] + near[1][r, j[c]])
+                at = np.flatnonzero(need >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(need[at])], ["query", "need"])
     return run
 
 
@@ -208,17 +213,24 @@ def _linked(cosine: float):
     return run
 
 
+def enough(needs: list[float], target: float) -> float | None:
+    """The distance within which a share ``target`` of the queries has all its links; None if too few queries have any to tell."""
+    return None if len(needs) * (1 - target) < 1 else sorted(needs)[math.ceil(target * len(needs)) - 1]
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, target_recall: float = 0.998, sample: int = 20_000, queries: int = 512,
-                    cell_rows: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+                    cell_rows: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per row of ``vectors``: id, ``n_links``, ``component_id`` and ``kept``.
 
     Two vectors link when their cosine is at least ``cosine``. Null and zero vectors, vectors with null or non-finite components,
     and vectors of another length than most link with nothing. ``component_id`` is the least id that links
     reach; the row with that id is kept. Ids are integers and name vectors: of rows that share an id and differ, one
     speaks for all, and repeated rows count as linked vectors of their own. Rows without an id link with nothing.
-    Codebooks have as many centroids as give cells of ``cell_rows`` vectors on average and are fitted on at most ``sample``
-    vectors (those with the least hash of their id); all vectors are indexed. ``queries`` of the sample are compared with all vectors to
-    find how far the traversal must go for ``target_recall``; 1 finds every link. Equal vectors are one point with a
+    Codebooks have as many centroids as give cells of ``cell_rows`` vectors on average (50, or TILE for a target of 1, where
+    most cells are visited) and are fitted on at most ``sample`` vectors (those with the least hash of their id); all vectors
+    are indexed. ``queries`` of the sample are compared with all vectors to find how far the traversal must go for a share
+    ``target_recall`` of the vectors that link to have all their links; 1 finds every link, and so does a target that too few
+    queries with links can tell. Equal vectors are one point with a
     count, so a vector that a third of the rows repeat is compared once; cells of any size are verified in tiles of
     TILE x TILE. An empty table gives an empty result.
     """
@@ -232,16 +244,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, target_recall: flo
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     x = _matrix(chosen["unit"])
     cut = max(1, x.shape[1] // 2)
+    cell_rows = cell_rows or (50 if target_recall < 1 else TILE)
     centroids = min(max(1, len(x) // 4), max(8, int(np.sqrt(points.count() / cell_rows))))
     books = [codebook(part, centroids, seed) for seed, part in enumerate((x[:, :cut], x[:, cut:]))]
     index = spark.sparkContext.broadcast(Index(books))
     placed = staged(points.mapInArrow(_assign(index), "id bigint, unit binary, n bigint, i int, j int"))
     room = 2 - 2 * cosine + ROUND
     if target_recall < 1:
-        needs = placed.mapInArrow(_needs(index, spark.sparkContext.broadcast(x[:queries]), cosine), "need double")
-        found = needs.agg(F.percentile("need", F.lit(target_recall)).alias("q"), F.count(F.lit(1)).alias("n")).first()
-        if found["n"] >= 5 / (1 - target_recall):  # else too few links to tell
-            room = min(room, found["q"] + ROUND)
+        needs = placed.mapInArrow(_needs(index, spark.sparkContext.broadcast(x[:queries]), cosine), "query int, need double")
+        reach = enough([r["need"] for r in needs.groupBy("query").agg(F.max("need").alias("need")).collect()], target_recall)  # a row a query at most
+        room = room if reach is None else min(room, reach + ROUND)
     index = spark.sparkContext.broadcast(Index(books, room))
     visits = staged(placed.mapInArrow(_visits(index), "id bigint, i int, j int"))
     sizes = placed.groupBy("i", "j").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))

@@ -146,4 +146,4 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"), target_recall=1)

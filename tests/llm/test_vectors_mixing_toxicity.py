@@ -62,6 +62,26 @@ def test_links_by_brute_force(spark, target):
     assert len(multiindex.near_duplicates(df.where("vec_id in (2001, 2002)")).collect()) == 2
 
 
+def test_recall_counts_vectors_not_links(spark):
+    """A group of near copies that holds a third of the rows and almost all links does not decide how far the others look."""
+    draw = np.random.default_rng(5)
+    group = draw.normal(size=16) + draw.normal(size=(300, 16)) * 1e-3
+    pairs = np.repeat(draw.normal(size=(300, 16)), 2, axis=0) + draw.normal(size=(600, 16)) * 0.15
+    x = np.vstack([group, pairs])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    n = (unit @ unit.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in multiindex.near_duplicates(df, target_recall=0.9, cell_rows=3).collect()}
+    share = np.array([got[i] / n[i] for i in range(len(x)) if n[i]])
+    assert share.mean() >= 0.9
+
+
+def test_reach_of_the_traversal():
+    assert multiindex.enough([0.0] * 90 + [0.5] * 9 + [0.9], 0.9) == 0.0
+    assert multiindex.enough([0.0] * 89 + [0.5] * 11, 0.9) == 0.5
+    assert multiindex.enough([0.1] * 9, 0.9) is None
+
+
 def test_traversal_is_nearest_first_and_complete():
     draw = np.random.default_rng(0)
     a, b = draw.random(9), draw.random(7)
