@@ -4,14 +4,14 @@ Words are compared by their common subsequences of three characters, gaps allowe
 stay close to ``idiot``. Landmarks are words: the ones most bound to toxic rows, and words of clean rows, the hardest included. The Nyström map over them makes the machine
 linear, and its weights fold back into one table over character triples, so a word is scored without touching the
 landmarks. A sentence is as toxic as its worst word and a text as its worst sentence; training therefore takes, of each
-sentence of a toxic row, the word that looks worst by now, and every word of clean rows as an example against it.
+sentence of a toxic row, the word that looks worst by now, and words of clean rows as examples against it.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -174,16 +174,37 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array([counts[0][w] for w in words], pa.int64())], ["word", "toxic", "clean"])
 
 
-def _sentences(wanted: frozenset):
-    """Of each row, the wanted words of each sentence that has any."""
+def witnesses(text: str, value: Callable[[list[str]], list[float]], limit: Callable[[float], float]) -> list[str]:
+    """The worst word of each sentence whose value is at least ``limit`` of the worst of the text: one or more, unless the text has no words."""
+    held = {w for s in SENTENCE.split(text) if (w := tuple(sorted({p for t in tokens(s) if len(p := plain(t)) > 2})))}
+    words = sorted(set().union(*held))
+    of = dict(zip(words, value(words), strict=True))
+    worst = [max(sentence, key=lambda w: (of[w], w)) for sentence in sorted(held)]
+    least = limit(max((of[w] for w in worst), default=0.0))
+    return [w for w in worst if of[w] >= least and of[w] > -np.inf]  # parts of words with a stop inside have no share
+
+
+def _witness_counts(shares, model):
+    """How many sentences of a batch each word speaks for: by ``shares`` of all words of toxic rows, or by the margins of a model."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, float] = {}
+
+        def learnt(words: list[str]) -> list[float]:
+            if len(known) > MEMORY:
+                known.clear()
+            new = [w for w in words if w not in known]
+            known.update(zip(new, margins(new, model.value).tolist(), strict=True))
+            return [known[w] for w in words]
+        if model is None:
+            value, limit = lambda words: [shares.value.get(w, -np.inf) for w in words], lambda v: max(v / 4, 1.0) if v > 1 else v
+        else:
+            value, limit = learnt, lambda v: min(v, 0.0)
         for batch in batches:
-            out = []
+            counts = Counter()
             for text in batch.column("text").to_pylist():
-                held = {tuple(sorted({plain(t) for t in tokens(s)} & wanted)) for s in SENTENCE.split(text)}
-                if held := sorted(map(list, held - {()})):
-                    out.append(held)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.list_(pa.string())))], ["sentences"])
+                counts.update(witnesses(text, value, limit))
+            found = sorted(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([counts[w] for w in found], pa.int64())], ["word", "n"])
     return run
 
 
@@ -251,11 +272,15 @@ def held_out(id_col: str, folds: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = 20_000, landmarks: int = 160, id_col: str = "doc_id",
-          text_col: str = "text", label_col: str = "toxic") -> Model:
+          text_col: str = "text", label_col: str = "toxic", common_words: int | None = 2000, drawn_words: int | None = 4000,
+          hard_words: int | None = 2000) -> Model:
     """A model from the labelled rows that are not held out.
 
-    Of each label at most ``max_rows`` rows are used, those with the least hash of their id; all their sentences and words
-    count. ``landmarks`` is how many landmarks each class gives. Null labels, and labels without a row, do not count. Without
+    Of each label at most ``max_rows`` rows are used, those with the least hash of their id. Every toxic row gives examples: the
+    worst word of each sentence that is about as bad as its worst, one at least, be the word in no other row. Of the words of
+    clean rows those count, by their number of rows, that are among the ``common_words`` most frequent, the ``drawn_words`` of
+    least hash or, after each of the first two turns, the ``hard_words`` that look worst of all; None for any takes all words,
+    which the driver must hold. ``landmarks`` is how many landmarks each class gives. Null labels, and labels without a row, do not count. Without
     rows of both labels the model gives every text the share of toxic rows (0 without any row).
     """
     spark = docs.sparkSession
@@ -271,38 +296,36 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = 20
         return Model(np.zeros(TRIPLES), 0.0, 0.0, float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -50, 50)))
     words = staged(rows.mapInArrow(_word_counts, "word string, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     share = F.log((F.col("toxic") + 0.1) / toxic) - F.log((F.col("clean") + 0.1) / clean)
-    bound = words.where((F.col("toxic") > 1) & (share > 1)).withColumn("bound", F.col("toxic") * share)
-    suspects = {r["word"]: r["bound"] for r in bound.orderBy(F.desc("bound"), "word").limit(4 * landmarks).collect()}
-    taken = lambda order, n: {r["word"]: r["clean"] for r in words.where("clean > 0").orderBy(order, "word").limit(n).collect()}
-    negative = taken(F.desc("clean"), 2000)
+    # a word of many toxic rows comes first; one bound to none keeps its share, so that a row without others still has a worst word
+    bound = F.when(share > 1, F.col("toxic") * share).otherwise(share)
+    found = words.where("toxic > 0").select("word", bound.alias("bound")).toArrow()
+    shares = spark.sparkContext.broadcast(dict(zip(found["word"].to_pylist(), found["bound"].to_pylist(), strict=True)))
+    bad = rows.where("toxic = 1").select("text")
+    taken = lambda order, n: {r["word"]: r["clean"] for r in _first(words.where("clean > 0").orderBy(order, "word"), n).collect()}
+    negative = taken(F.desc("clean"), common_words)
     common = list(negative)
-    negative |= taken(F.xxhash64("word"), 4000)
-    bags = [r["sentences"] for r in rows.where("toxic = 1").mapInArrow(_sentences(frozenset(suspects)), "sentences array<array<string>>").collect()]
-    value, model = suspects, None
+    negative |= taken(F.xxhash64("word"), drawn_words)
+    model = None
     for turn in range(3):
         # a sentence's worst word speaks for it, if it is nearly as bad as the worst of its row
-        witness = Counter()
-        for bag in bags:
-            worst = [max(sentence, key=lambda w: (value[w], w)) for sentence in bag]
-            limit = max(value[w] for w in worst)
-            limit = limit / 4 if model is None else min(limit, 0.0)
-            witness.update(w for w in worst if value[w] >= limit)
+        held = None if model is None else spark.sparkContext.broadcast(model)
+        spoken = bad.mapInArrow(_witness_counts(shares if model is None else None, held), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        witness = {r["word"]: r["n"] for r in spoken.collect()}
         if not witness:
             break
         marks = [w for w, _ in sorted(witness.items(), key=lambda x: (-x[1], x[0]))[:landmarks]]
-        against = [w for w in negative if w not in witness]
+        against = list(negative)
         hard = common[:landmarks]
         if model is not None:  # the clean words that look worst join the landmarks
             hard = [against[i] for i in np.argsort(-margins(against, model), kind="stable")[:landmarks]]
         found = sorted(witness.items())
         model = trained(list(dict.fromkeys(marks + hard)), {w: n / toxic for w, n in found}, {g: n / 4 / toxic for w, n in found for g in _gapped(w)},
                         {w: CAREFUL * negative[w] / clean for w in against})
-        value = dict(zip(suspects, margins(list(suspects), model).tolist(), strict=True))
         if turn < 2:
             held = spark.sparkContext.broadcast(model)
-            worse = (words.where("clean > 0").select("word", "clean").mapInArrow(_margin_rows(held), "word string, clean bigint, margin double")
-                     .orderBy(F.desc("margin"), "word").limit(2000).collect())
-            negative = negative | {r["word"]: r["clean"] for r in worse}
+            worse = _first(words.where("clean > 0").select("word", "clean").mapInArrow(_margin_rows(held), "word string, clean bigint, margin double")
+                           .orderBy(F.desc("margin"), "word"), hard_words)
+            negative = negative | {r["word"]: r["clean"] for r in worse.collect()}
     if model is None:
         return Model(np.zeros(TRIPLES), 0.0, 0.0, float(np.log(toxic / clean)))
     held = spark.sparkContext.broadcast(model)
@@ -311,6 +334,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = 20
     return model._replace(slope=slope, offset=offset)
 
 
+def _first(rows: DataFrame, n: int | None) -> DataFrame:
+    return rows if n is None else rows.limit(n)
+
+
 def _margin_rows(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

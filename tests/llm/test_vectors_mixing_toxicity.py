@@ -171,6 +171,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(s < 0.5 for s in clean[:4]) and clean[4] >= 0.5 and clean[5] < 0.5
 
 
+def test_every_toxic_row_gives_examples(spark, monkeypatch):
+    """Each toxic row has an insult of its own, more of them than the machine has landmarks."""
+    draw = random.Random(2)
+    sound = lambda parts: "".join(draw.choice(parts) for _ in range(4))
+    insults = [sound(["gub", "zok", "vax", "kwi", "jup"]) + str(i) for i in range(60)]
+    rows = [(i, " ".join(sound(["th", "er", "an", "ou", "le"]) for _ in range(12)) + (f". {insults[i // 4]} er" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(240)]
+    seen = set()
+    known = toxicity.trained
+    monkeypatch.setattr(toxicity, "trained", lambda marks, positive, *more: seen.update(positive) or known(marks, positive, *more))
+    toxicity.train(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), landmarks=5)
+    assert seen >= {insults[i // 4] for i, _, y in rows if y and zlib.crc32(str(i).encode()) % 5}
+
+
+def test_witnesses_of_a_text():
+    value = {"one": 9.0, "two": 3.0, "six": 0.5, "ten": -np.inf}
+    of = lambda text: sorted(toxicity.witnesses(text, lambda ws: [value[w] for w in ws], lambda v: v / 4 if v > 4 else v))
+    assert of("one six. two ten. six") == ["one", "two"] and of("six. ten") == ["six"] and of("ten") == of("a. b") == of("") == []
+
+
 def test_calibration_of_extreme_margins():
     worst = np.array([-40.0, -3, -2, 1, 2, 90, 400] * 20)
     slope, offset = toxicity._calibrated(worst, (worst > 0).astype(int))
