@@ -24,7 +24,6 @@ SECTION_ENDS = ["contributions", "corresponding authors", "additional informatio
 NOTE_WORDS = ["corresponding", "equal contribution", "contributed equally"]
 CORRESPONDING_WORDS = ["corresponding author", "correspondence", "email", "e-mail"]
 CO_FIRST_WORDS = ["equal contribution", "contributed equally", "co-first", "co first"]
-MAX_AFFILIATIONS = 6
 
 
 def _plain(c: Column) -> Column:
@@ -124,8 +123,8 @@ def names_match(a: Column, b: Column) -> Column:
                       & (F.substring(a["first"], 1, 1) == F.substring(b["first"], 1, 1)), F.lit(False))
 
 
-def affiliations_from_text(text: Column) -> Column:
-    """Up to six distinct lines that look like affiliations (score >= 3)."""
+def affiliations_from_text(text: Column, max_lines: int | None = None) -> Column:
+    """Distinct lines that look like affiliations (score >= 3), all or the first ``max_lines``."""
     rows = F.transform(lines(text), squeeze)
 
     def good(s):
@@ -134,7 +133,8 @@ def affiliations_from_text(text: Column) -> Column:
                  + F.when(F.contains(s, F.lit(",")), 1).otherwise(0)
                  + F.when(F.length(s).between(15, 240), 1).otherwise(0))
         return (F.length(s) >= 10) & ~contains_any(low, NOTE_WORDS) & ~s.rlike(EMAIL) & (score >= 3)
-    return F.slice(first_seen(F.filter(rows, good)), 1, MAX_AFFILIATIONS)
+    found = first_seen(F.filter(rows, good))
+    return found if max_lines is None else F.slice(found, 1, max_lines)
 
 
 def best_line(text: Column) -> Column:

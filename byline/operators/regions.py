@@ -51,19 +51,20 @@ def block_norm(c: Column) -> Column:
     return squeeze(F.regexp_replace(t, r"[^a-z0-9\s]", " "))
 
 
-def numbered_units(c: Column) -> Column:
-    """Distinct list numbers that precede a unit word, at most ten."""
+def numbered_units(c: Column, max_units: int | None = None) -> Column:
+    """How many distinct list numbers precede a unit word, at most ``max_units`` if given."""
     found = F.regexp_extract_all(c, F.lit(
         rf"(?i)(?:^|\s)(\d{{1,2}})\s*[.)]?\s*(?:{'|'.join(BLOCK_WORDS)})\b"), F.lit(1))
-    return F.least(F.size(F.array_distinct(found)), F.lit(10))
+    n = F.size(F.array_distinct(found))
+    return n if max_units is None else F.least(n, F.lit(max_units))
 
 
 def score_blocks(blocks: DataFrame, names: DataFrame, max_names: int | None = None,
-                 max_chars: int | None = None) -> DataFrame:
+                 max_chars: int | None = None, max_units: int | None = None) -> DataFrame:
     """Candidate author blocks with their score.
 
-    ``blocks``: (doi, block, text, width, height, top, banned); ``names``: (doi, names ARRAY<STRING>). All names and
-    blocks of 60 characters or more count, unless ``max_names`` or ``max_chars`` says otherwise.
+    ``blocks``: (doi, block, text, width, height, top, banned); ``names``: (doi, names ARRAY<STRING>). All names, all
+    list numbers and blocks of 60 characters or more count, unless ``max_names``, ``max_units`` or ``max_chars`` says otherwise.
     """
     raw = strip(F.coalesce("text", F.lit("")))
     usable = F.filter(F.transform(F.coalesce("names", F.array().cast("array<string>")), block_norm), lambda n: F.length(n) > 0)
@@ -73,7 +74,7 @@ def score_blocks(blocks: DataFrame, names: DataFrame, max_names: int | None = No
             .where(~F.coalesce("banned", F.lit(False)) & (F.length("raw") >= 60) & short
                    & (F.col("width") >= 360) & (F.col("height") >= 60) & (F.col("top") <= 1800))
             .withColumn("norm", block_norm(F.col("raw"))).where(~F.startswith("norm", F.lit("citation")))
-            .withColumn("units", numbered_units(F.col("raw"))).where("units >= 2")
+            .withColumn("units", numbered_units(F.col("raw"), max_units)).where("units >= 2")
             .join(names, "doi", "left"))
     hits = F.size(F.filter(usable, lambda n: F.contains(F.col("norm"), n)))
     score = (F.col("units") * 80 + hits * 10

@@ -181,7 +181,7 @@ FROM documents LEFT JOIN lists ON lists.doi = CAST(doc_id AS VARCHAR) LEFT JOIN
 def affiliations_from_text(t):
     body = F.array_join(F.transform(F.split(F.replace("text", F.lit(" the "), F.lit(" University ")), "\n"), text.squeeze), "\n")
     return t.documents.select(F.col("doc_id").cast("string").alias("doi"), body.alias("x")).select(
-        "doi", F.array_join(panels.affiliations_from_text(F.col("x")), "|").alias("affiliations"),
+        "doi", F.array_join(panels.affiliations_from_text(F.col("x"), max_lines=6), "|").alias("affiliations"),
         panels.best_line(F.col("x")).alias("best_line"))
 
 

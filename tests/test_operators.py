@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from byline.operators import admission, decisions, details, fusion, memory, panels, reports, roster, sinks
+from byline.operators import admission, author_text, decisions, details, fusion, memory, panels, regions, reports, roster, sinks
 from byline.schemas import AUTHOR_EVIDENCE, EVIDENCE_COLUMNS, FACULTY, PAPERS
 from byline.sources import files
 
@@ -162,3 +162,19 @@ def test_paper_detail_parts(spark):
     rows = details.paper_detail(papers, authors).orderBy("part").collect()
     assert [len(r.authors) for r in rows] == [10000, 10000, 5000] and rows[2].authors[0]["rank"] == 20001
     assert FACULTY
+
+
+def test_long_lists_are_kept_whole(spark):
+    units = [f"Department of Number{i}, Example University" for i in range(9)]
+    row = spark.createDataFrame([("\n".join(units), " ".join(f"{i} Department of things" for i in range(1, 13)))], "a string, b string").select(
+        panels.affiliations_from_text(F.col("a")).alias("all"), panels.affiliations_from_text(F.col("a"), 6).alias("six"),
+        regions.numbered_units(F.col("b")).alias("n"), regions.numbered_units(F.col("b"), 10).alias("ten")).first()
+    assert row["all"] == units and row["six"] == units[:6] and (row["n"], row["ten"]) == (12, 10)
+
+
+def test_head_pairs_without_a_list_read_every_line(spark):
+    text = "\n".join(["plain words here"] * 14 + ["Ann Lee 1,2"])
+    known = F.array().cast("array<int>")
+    read = lambda **k: author_text._head_pairs(F.col("t"), F.lit(9), known, **k)
+    row = spark.createDataFrame([(text,)], "t string").select(read().alias("all"), read(max_lines=12).alias("few")).first()
+    assert len(row["all"]) == 1 and len(row["few"]) == 0
