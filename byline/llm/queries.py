@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from byline.llm import bpe, ctw, exact, lines, mixing, multiindex, ordermin, substrings, toxicity, urls
+from byline.llm import bpe, ctw, exact, lines, mixing, multiindex, ordermin, substrings, toxicity, urls, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -147,3 +147,48 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"), target_recall=1)
+
+
+def _slip(doc_id, run):
+    """One letter less in one of about 199 runs, told by the checksum of document and run."""
+    h = F.crc32(F.concat_ws(":", doc_id, run).cast("binary"))
+    at = (h % F.char_length(run)).cast("int")
+    cut = F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.char_length(run)))
+    return F.when(h % 199 == 0, cut).otherwise(run)
+
+
+#: CRC-32 in SQL: the table by its rule, then one step per byte of a text of code points below U+0800.
+CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"""
+
+
+def crc_sql(text: str) -> str:
+    code = f"flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END))"
+    return f"xor(list_reduce(list_concat([4294967295], {code}::BIGINT[]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@query(rf"""
+WITH RECURSIVE crc AS MATERIALIZED ({CRC_TABLE}),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS r FROM documents),
+counted AS (SELECT doc_id, r, count(*) AS k FROM runs WHERE length(r) >= 6 GROUP BY ALL),
+hashed AS (SELECT r, k, {crc_sql("doc_id || ':' || r")} AS h FROM counted, crc),
+words AS MATERIALIZED (
+  SELECT word, sum(k)::BIGINT AS n FROM (SELECT k, CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+cuts AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT x.word, y.word AS other, y.n AS m FROM cuts x JOIN cuts y ON x.a = y.a AND x.b = y.b AND x.i = y.i WHERE x.word <> y.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.a || c.b = w.word
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.a || c.b = w.word),
+best AS (SELECT word, count(*) AS n_near, arg_max(other, (m, -rank)) AS top, max(m) AS top_n
+         FROM near JOIN (SELECT word AS other, row_number() OVER (ORDER BY word) AS rank FROM words) USING (other) GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top_n >= 5 * n THEN top END AS form, CASE WHEN top_n >= 5 * n THEN top_n END AS form_n
+  FROM words w LEFT JOIN best ON w.word = best.word),
+walk AS (SELECT word, word AS here, 0 AS d FROM forms
+         UNION ALL SELECT walk.word, f.form, d + 1 FROM walk JOIN forms f ON f.word = walk.here WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(here, d) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+""")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_groups(variants.word_counts(table(spark, sf_dir, "documents"), change=_slip), ratio=5)
