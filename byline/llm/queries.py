@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from byline.llm import bpe, ctw, exact, lines, mixing, multiindex, ordermin, substrings, toxicity, urls, variants
+from byline.llm import bpe, convtrie, ctw, exact, lines, mixing, multiindex, ordermin, pii, substrings, toxicity, urls, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -192,3 +192,44 @@ SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
 """)
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variant_groups(variants.word_counts(table(spark, sf_dir, "documents"), change=_slip), ratio=5)
+
+
+@query(rf"""
+WITH crc AS MATERIALIZED ({CRC_TABLE}),
+own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS r, coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL),
+counts AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base FROM own GROUP BY conv_id),
+convs AS MATERIALIZED (SELECT conv_id, n, base, {crc_sql("conv_id::VARCHAR")} % 4 AS h FROM counts, crc),
+rebuilt AS (
+  SELECT c.conv_id, o.r AS p, role, text FROM convs c JOIN own o ON o.conv_id = c.base AND o.r < c.h
+  UNION ALL SELECT c.conv_id, least(c.h, coalesce(b.n, 0)) + o.r - c.h, role, text
+  FROM convs c JOIN own o ON o.conv_id = c.conv_id LEFT JOIN convs b ON b.conv_id = c.base WHERE o.r >= c.h),
+seqs AS (SELECT convs.conv_id, coalesce(ks, []) AS ks, ws FROM convs LEFT JOIN (
+  SELECT conv_id, list(md5(length(role) || ':' || role || text) ORDER BY p) AS ks, list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY p) AS ws
+  FROM rebuilt GROUP BY conv_id) s ON s.conv_id = convs.conv_id),
+paths AS MATERIALIZED (SELECT conv_id, d, array_to_string(ks[1:d], ' ') AS k, d = len(ks) AS last, coalesce(ws[d], 0) AS w
+                       FROM (SELECT *, unnest(range(len(ks) + 1)) AS d FROM seqs)),
+nodes AS MATERIALIZED (
+  SELECT d AS depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(w) AS w,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256 FROM paths GROUP BY d, k),
+kin AS MATERIALIZED (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND left(c.k, greatest(length(c.k) - 33, 0)) = n.k) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.k = left(n.k, greatest(length(n.k) - 33, 0))),
+rolled AS (SELECT a.d, a.k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * n.w)::BIGINT AS saved_tokens
+           FROM kin n JOIN paths a ON a.conv_id = n.conv_id AND a.d <= n.depth GROUP BY a.d, a.k)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM kin JOIN rolled ON rolled.d = kin.depth AND rolled.k = kin.k
+""")
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = convtrie.with_shared_heads(convtrie.ordered_turns(table(spark, sf_dir, "conversations")), family=20, heads=4)
+    return convtrie.prefix_trie(turns, convs)
+
+
+@query()
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, pii.train(docs))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [of(k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
