@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from byline.llm.staging import staged, text_or_empty
+from byline.llm.staging import staged, tagged_once, text_or_empty
 
 KEY = ["_digest", "_bytes", "_check"]
 
@@ -72,9 +72,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefer: str = "largest",
                           fan_in: int = 8) -> DataFrame:
-    """``docs`` without the rows that ``exact_duplicates`` does not keep. ``docs`` should be a stored table, for
-    rows are told apart by their place in its scan."""
-    tagged = _tagged(docs)
-    rows, groups = _groups(tagged, id_col, text_col, prefer, fan_in)
-    losers = rows.join(groups, KEY).where(F.abs("_best.turn") != F.col("_tag")).select("_tag")
-    return tagged.join(losers, "_tag", "left_anti").drop("_tag")
+    """``docs`` without the rows that ``exact_duplicates`` does not keep. The rows are numbered once, in a stored copy."""
+    tagged, tag = tagged_once(docs)
+    narrow = tagged.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(tag).alias("_tag"))
+    rows, groups = _groups(narrow, "_id", "_text", prefer, fan_in)
+    losers = rows.join(groups, KEY).where(F.abs("_best.turn") != F.col("_tag")).select(F.col("_tag").alias(tag))
+    return tagged.join(losers, tag, "left_anti").drop(tag)

@@ -26,12 +26,10 @@ TILE = 1024
 ROUND = 1e-9  # room for rounding in bounds
 
 
-def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors in double precision, which rows are usable) of a list column whose rows have one length."""
+def unit_rows(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors in double precision, which rows are usable) of a list column; usable ones have ``width`` components."""
     usable = np.zeros(len(column), bool)
     rows = column.to_pylist()
-    sizes = [len(x) for x in rows if x is not None]
-    width = max(set(sizes), key=sizes.count) if sizes else 0
     out = np.zeros((len(rows), width))
     for i, x in enumerate(rows):
         if x is None or len(x) != width or width == 0 or None in x:
@@ -43,12 +41,14 @@ def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, usable
 
 
-def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unit(width: int):
     """Usable vectors at unit length, as bytes."""
-    for batch in batches:
-        x, usable = unit_rows(batch.column("embedding"))
-        at = np.flatnonzero(usable)
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array([x[i].tobytes() for i in at], pa.binary())], ["id", "unit"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, usable = unit_rows(batch.column("embedding"), width)
+            at = np.flatnonzero(usable)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array([x[i].tobytes() for i in at], pa.binary())], ["id", "unit"])
+    return run
 
 
 def _matrix(column) -> np.ndarray:
@@ -223,7 +223,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, target_recall: flo
     """One row per row of ``vectors``: id, ``n_links``, ``component_id`` and ``kept``.
 
     Two vectors link when their cosine is at least ``cosine``. Null and zero vectors, vectors with null or non-finite components,
-    and vectors of another length than most link with nothing. ``component_id`` is the least id that links
+    and vectors of another length than most of the table (ties: the longer) link with nothing. ``component_id`` is the least id that links
     reach; the row with that id is kept. Ids are integers and name vectors: of rows that share an id and differ, one
     speaks for all, and repeated rows count as linked vectors of their own. Rows without an id link with nothing.
     Codebooks have as many centroids as give cells of ``cell_rows`` vectors on average (50, or TILE for a target of 1, where
@@ -236,7 +236,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, target_recall: flo
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    units = staged(rows.where("id is not null").mapInArrow(_unit, "id bigint, unit binary"))
+    lengths = rows.where("id is not null and embedding is not null").groupBy(F.size("embedding").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    width = (lengths.agg(F.max(F.struct("n", "length")).alias("most")).first()["most"] or {"length": 0})["length"]
+    units = staged(rows.where("id is not null").mapInArrow(_unit(width), "id bigint, unit binary"))
     points = staged(units.groupBy("unit").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
     chosen = points.select("id", "unit").orderBy(F.xxhash64("id"), "id").limit(sample).select("unit").toArrow()
     ids = units.select("id", "unit")

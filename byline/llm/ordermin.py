@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from byline.llm.components import components
-from byline.llm.staging import likely_in, staged, text_or_empty
+from byline.llm.staging import likely_in, staged, tagged_once, text_or_empty
 from byline.llm.words import mix, runs, words_of
 
 SIGNATURE = 64
@@ -289,22 +289,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, ske
     shingle. Rows without an id are members like others but name a class only if no row has an id. Of repeated
     rows one is kept. An empty table gives an empty result.
     """
-    return _classes(docs.withColumn("_tag", F.monotonically_increasing_id()), width, threshold, sketches, picked, id_col, text_col).drop("_tag")
+    narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_tag"))
+    return _classes(narrow, width, threshold, sketches, picked).drop("_tag").withColumnRenamed("_id", id_col)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, sketches: int = 20, picked: int = 3,
                          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class of ``near_duplicates``, that with the least id. ``docs`` should be a stored
-    table, for rows are told apart by their place in its scan."""
-    tagged = docs.withColumn("_tag", F.monotonically_increasing_id())
-    losers = staged(_classes(tagged, width, threshold, sketches, picked, id_col, text_col).where("not kept").select("_tag"))
-    return tagged.join(losers, "_tag", "left_anti").drop("_tag")
+    """``docs`` with one row of each class of ``near_duplicates``, that with the least id. The rows are numbered once, in a
+    stored copy."""
+    tagged, tag = tagged_once(docs)
+    narrow = tagged.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(tag).alias("_tag"))
+    losers = staged(_classes(narrow, width, threshold, sketches, picked).where("not kept").select(F.col("_tag").alias(tag)))
+    return tagged.join(losers, tag, "left_anti").drop(tag)
 
 
-def _classes(tagged: DataFrame, width: int, threshold: float, sketches: int, picked: int, id_col: str, text_col: str) -> DataFrame:
-    text = text_or_empty(F.col(text_col))
+def _classes(tagged: DataFrame, width: int, threshold: float, sketches: int, picked: int) -> DataFrame:
+    text = text_or_empty(F.col("_text"))
     rows = tagged.select(F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("node"), text.alias("text"))
-    members = staged(tagged.select(F.col(id_col).alias("id"), "_tag", F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("node")))
+    members = staged(tagged.select(F.col("_id").alias("id"), "_tag", F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("node")))
     known = staged(rows.mapInArrow(_sketches(width, sketches, picked), "node binary, size bigint, sig binary, keys array<bigint>")
                    .dropDuplicates(["node"]))
     entries = known.select("node", F.explode("keys").alias("key"))
@@ -322,7 +324,7 @@ def _classes(tagged: DataFrame, width: int, threshold: float, sketches: int, pic
     first = F.min(F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"), F.col("_tag").alias("tag")))
     classes = staged(placed.groupBy("class").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size")))
     return placed.join(classes, "class").select(
-        F.col("id").alias(id_col), "_tag", F.col("first.id").alias("class_id"), "class_size", (F.col("first.tag") == F.col("_tag")).alias("kept"))
+        F.col("id").alias("_id"), "_tag", F.col("first.id").alias("class_id"), "class_size", (F.col("first.tag") == F.col("_tag")).alias("kept"))
 
 
 def _across(held: DataFrame, known: DataFrame, label: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame | None:

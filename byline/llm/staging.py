@@ -27,6 +27,17 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tagged_once(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` stored with a number for each row, and that column's name, which no other column has.
+
+    Numbers given in a scan change with the number of cores at that time; stored ones do not.
+    """
+    tag = "_tag"
+    while tag in docs.columns:
+        tag += "_"
+    return staged(docs.withColumn(tag, F.monotonically_increasing_id())), tag
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
