@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from byline import schemas
 from byline.functions.text import lines, safe_doi, strip
+from byline.session import cut_lineage
 
 DELIMITERS = [",", ";", "\t", "|"]
 
@@ -28,20 +29,24 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return max(DELIMITERS, key=head.count)
 
 
-def _file_order(df: DataFrame) -> Column:
-    """Row numbers in the order of file names and of lines within a file.
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``name``: 0, 1, ... in the order of file names and of lines within a file.
 
-    Spark deals files to tasks by size, so the place of the task says nothing about the order of files; file and
-    block start come first. Only names and starts of input splits are gathered, not rows.
+    Spark deals files to tasks by size and by the cores it has at the time, so the rows are stored once, with the file and
+    split they came from, before they are numbered: later scans see the same numbers. A task numbers the
+    rows of a split in their order; only the names, starts and sizes of splits are gathered, not rows.
     """
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    splits = sorted(tuple(r.at) for r in df.select(at.alias("at")).distinct().collect())
-    if not splits:
-        return F.monotonically_increasing_id()
-    place = F.create_map(*[F.lit(x) for i, (file, start) in enumerate(splits) for x in (f"{file}:{start}", i)])
-    key = F.concat(F.col("_metadata.file_path"), F.lit(":"), F.col("_metadata.file_block_start"))
-    # a task numbers its rows upwards, so within a split the lower 33 bits keep the order of lines
-    return F.element_at(place, key).cast("long") * F.lit(1 << 33) + F.monotonically_increasing_id() % F.lit(1 << 33)
+    stored = cut_lineage(df.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at")))
+    splits = stored.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).collect()
+    before, offsets = 0, []
+    for s in sorted(splits, key=lambda s: (s["_file"], s["_start"])):
+        offsets.append((s["_file"], s["_start"], before - s["_first"]))
+        before += s["_n"]
+    places = df.sparkSession.createDataFrame(offsets, "_file string, _start long, _offset long")
+    return (stored.join(places, ["_file", "_start"]).withColumn(name, F.col("_at") + F.col("_offset"))
+            .drop("_file", "_start", "_at", "_offset"))
 
 
 def read_table(spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = False) -> DataFrame:
@@ -56,7 +61,7 @@ def read_table(spark: SparkSession, path: str, delimiter: str | None = None, mul
     df = spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line) \
         .option("quote", '"').option("escape", '"').csv(path)
     names = [c.lstrip("﻿").strip() for c in df.columns]
-    return df.withColumn("row_index", _file_order(df)).toDF(*names, "row_index")
+    return _numbered(df, "row_index").toDF(*names, "row_index")
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
@@ -115,7 +120,7 @@ def read_doi_table(spark: SparkSession, path: str) -> DataFrame:
 def read_doi_text(spark: SparkSession, path: str) -> DataFrame:
     """(input_pos, doi) from lines; blank lines and # comments dropped."""
     lines = spark.read.text(path)
-    return (lines.withColumn("input_pos", _file_order(lines))
+    return (_numbered(lines, "input_pos")
             .select("input_pos", strip(F.col("value")).alias("doi"))
             .where((F.length("doi") > 0) & ~F.startswith("doi", F.lit("#"))))
 
