@@ -202,11 +202,12 @@ def _broadcast(spark: SparkSession, path: str):
     return hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest(), spark.sparkContext.broadcast(ranks)
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids", verify: bool = False) -> DataFrame:
     """``docs`` with ``ids_col``, the token ids (array of int) of each whole text; null texts count as empty.
 
     ``vocabulary`` is the path of a rank file on the driver. Empty texts have no ids, empty tables no rows; long
-    texts are encoded whole. An existing column ``ids_col`` is replaced.
+    texts are encoded whole. An existing column ``ids_col`` is replaced. With ``verify`` the ids of every text are decoded again
+    and the job fails if they do not give the text back.
     """
     name, ranks = _broadcast(docs.sparkSession, vocabulary)
     rows = docs.drop(ids_col).withColumn("_text", text_or_empty(F.col(text_col)))
@@ -216,7 +217,12 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
         coder = _worker_encoder(name, ranks, pattern)
         for batch in batches:
             for part in _slices(batch):
-                made = [np.frombuffer(coder.encode(t), "<u4").astype(np.int32) for t in _texts(part, "_text")]
+                made = []
+                for text in _texts(part, "_text"):
+                    got = coder.encode(text)
+                    if verify and coder.decode(got) != text.encode():
+                        raise ValueError("ids do not decode to the text they were made from")
+                    made.append(np.frombuffer(got, "<u4").astype(np.int32))
                 ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(ends, np.concatenate([*made, np.zeros(0, np.int32)]))
                 kept = [part.column(c) for c in part.schema.names if c != "_text"]
