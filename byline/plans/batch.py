@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from byline.functions.text import fingerprint, strip
-from byline.operators.admission import admit_batch
+from byline.operators.admission import admit_batch, cached_records
 from byline.operators.affiliations import map_numbers, resolve_affiliation_maps
 from byline.operators.author_text import extract_author_markers
 from byline.operators.decisions import decide_authors, paper_author_rows, paper_statuses
@@ -18,6 +18,7 @@ from byline.operators.fusion import (enrich_registry, evidence_scores, fuse_regi
 from byline.operators.keywords import papers_with_school, school_keywords, with_school_hit
 from byline.operators.linkage import link_authors
 from byline.operators.memory import memory_signals
+from byline.operators.publish import publish
 from byline.schemas import EVIDENCE_COLUMNS
 from byline.session import cut_lineage
 from byline.sources.pages import sidecar_authors, tooltip_text
@@ -47,6 +48,7 @@ class BatchResult:
     papers: DataFrame            # doi, title, journal, publish_date, status
     paper_authors: DataFrame
     fused: DataFrame             # all fused authors with their decision
+    cached: DataFrame            # stored papers that answer requests without work
 
 
 def adjudicate(registry: DataFrame, vision: DataFrame, texts: DataFrame, papers: DataFrame,
@@ -114,4 +116,14 @@ def run_batch(inputs: BatchInputs) -> BatchResult:
                                    inputs.school_words, failed)
     papers = statuses.join(meta, "doi", "left").select(
         "doi", strip("title").alias("title"), "journal", "publish_date", "status", "has_school_aff")
-    return BatchResult(actions, papers, paper_author_rows(decided), decided)
+    answered = inputs.papers.join(actions.where("action = 'skip_cached'").select("doi").distinct(), "doi", "left_semi")
+    return BatchResult(actions, papers, paper_author_rows(decided), decided, cached_records(answered, inputs.paper_authors))
+
+
+def publish_batch(result: BatchResult, root: str, batch: str) -> bool:
+    """Make a batch's papers and authors current in the tables under ``root``; see ``publish``.
+
+    Papers that were processed lose the authors they had, whatever the outcome: with OVERWRITE a failed paper keeps none.
+    """
+    done = result.actions.where("action = 'process'").select("doi").distinct()
+    return publish(root, batch, result.papers.select("doi", "title", "journal", "publish_date", "status"), result.paper_authors, done)

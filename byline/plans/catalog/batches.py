@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from byline.operators import admission, sinks
+from byline.operators import admission, publish, sinks
 from byline.plans.catalog import views as V
-from byline.plans.catalog.registry import query
+from byline.plans.catalog.registry import SQL, query
+from byline.session import shared_folder
 from byline.sources.files import doi_table
 
 REQUESTS = """requests AS (SELECT event_id AS input_pos, ' 10.1/' || user_id || ' ' AS doi FROM events)"""
@@ -105,6 +108,34 @@ def merge_papers(t):
     return sinks.merge_papers(old, new).select("doi", "title", "journal", "status")
 
 
+def _published(t, table: str):
+    """Two batches under a new root: the first papers with their authors, then the merge and the replacement above."""
+    root = f"{shared_folder(t.spark)}/published-{uuid.uuid4().hex}"
+    key = F.col("o_orderkey")
+    first = V.papers(t).select("doi", "title", "journal", "publish_date", "status").join(
+        t.orders.where(key % 2 == 0).select(V.doi("o_orderkey").alias("doi")), "doi", "left_semi")
+    authors = V.paper_authors(t).select("paper_doi", "rank", "raw_name")
+    publish.publish(root, "first", first, authors, authors.select(F.col("paper_doi").alias("doi")), buckets=16)
+    fresh = t.orders.where(key % 3 == 0).select(
+        V.doi("o_orderkey").alias("doi"), F.when(key % 5 != 0, F.concat(F.lit("Title "), "o_custkey")).alias("title"),
+        F.when(key % 7 != 0, F.col("o_orderstatus")).alias("status"))
+    dois = t.orders.where("o_orderstatus = 'P'").select(V.doi("o_orderkey").alias("doi"))
+    again = dois.select(F.col("doi").alias("paper_doi"), F.lit(1).alias("rank"), F.lit("New").alias("raw_name"))
+    for _ in range(2):  # the second call finds the batch published
+        publish.publish(root, "second", fresh, again, dois)
+    return publish.read_published(t.spark, root, table)
+
+
+@query(SQL["merge_papers"])
+def published_papers(t):
+    return _published(t, "papers").select("doi", "title", "journal", "status")
+
+
+@query(SQL["replace_authors"])
+def published_authors(t):
+    return _published(t, "paper_authors").select("paper_doi", "rank", "raw_name")
+
+
 def _listed(df, flag):
     return df.where(flag).select(
         V.doi("l_orderkey").alias("doi"), "pos", F.concat(F.lit("Part "), "l_partkey").alias("name"),

@@ -39,13 +39,8 @@ def local_session(name: str = "byline", cores: str = "*", shuffle_partitions: in
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the session's checkpoint folder and return it.
-
-    The folder comes from ``spark.checkpoint.dir``, which on a cluster names shared
-    storage. Only a local session without that setting gets a temporary folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only a local session without that setting gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,4 +49,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
             folder = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the session's checkpoint folder and return it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
