@@ -78,11 +78,6 @@ def _drop_buckets(buckets: DataFrame, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def write_papers(fresh: DataFrame, existing: DataFrame, path: str) -> None:
-    """Write the merged papers table to a new ``path`` (runs a job)."""
-    merge_papers(existing, fresh).write.mode("errorifexists").parquet(path)
-
-
 def result_records(statuses: DataFrame, vision: DataFrame, authors: DataFrame) -> DataFrame:
     """(doi, status, part, authors): the list to report per paper.
 
@@ -113,7 +108,7 @@ def parse_box(box: Column) -> Column:
     """JSON [[x, y], ...] or flat [x1, y1, ...] as ARRAY<STRUCT<x, y>>; NULL if neither."""
     nested = F.from_json(box, "array<array<double>>")
     flat = F.from_json(box, "array<double>")
-    is_nested = F.ltrim(F.substring(F.ltrim(box), F.lit(2), F.length(box))).startswith("[")
+    is_nested = box.rlike(r"^\s*\[\s*\[")  # written with or without line breaks
     pairs = F.when(F.size(flat) >= 2, F.transform(
         F.sequence(F.lit(0), (F.size(flat) / 2).cast("int") - 1),
         lambda i: F.array(F.get(flat, i * 2), F.get(flat, i * 2 + 1))))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from byline import schemas
-from byline.functions.text import lines, safe_doi, strip
+from byline.functions.text import lines, strip
 from byline.session import cut_lineage
 
 DELIMITERS = [",", ";", "\t", "|"]
@@ -190,10 +190,6 @@ def read_ocr_sidecars(spark: SparkSession, folder: str, dois: DataFrame | None =
     return df if dois is None else df.join(dois.select("doi").distinct(), "doi", "left_semi")
 
 
-def sidecar_path(folder: str, doi: Column) -> Column:
-    return F.concat(F.lit(folder.rstrip("/") + "/"), safe_doi(doi), F.lit("_ocr_sidecar.json"))
-
-
 def numbered_lines(texts: DataFrame, head: int = 60, tail: int = 0) -> DataFrame:
     """(doi, line_no, line) of the first ``head`` and last ``tail`` lines, zero-padded.
 
