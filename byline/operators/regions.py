@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from byline.functions.text import squeeze, strip
-from byline.operators.candidates import inside_pairs
 from byline.operators.ranking import top_k
 
 # Fixed values.
@@ -26,11 +25,12 @@ def layout_regions(items: DataFrame, authors: DataFrame, pages: DataFrame) -> Da
     both items and authors have regions.
     """
     texts = items.withColumn("l", F.lower(strip(F.coalesce("text", F.lit(""))))).where(F.length("l") > 0)
+    # The name tokens of one paper travel together, to its items only.
     tokens = (authors.select("doi", F.explode(F.regexp_extract_all(
         F.lower(F.coalesce("name", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("s"))
-        .where(F.length("s") >= 3).distinct())
-    hit = inside_pairs(tokens, texts.select("doi", "l").distinct(), by=("doi",)).select("doi", "l").distinct()
-    named = texts.join(hit, ["doi", "l"], "left_semi").withColumn("region", F.lit("author"))
+        .where(F.length("s") >= 3).groupBy("doi").agg(F.collect_set("s").alias("tokens")))
+    named = (texts.join(tokens, "doi").where(F.exists("tokens", lambda s: F.contains("l", s)))
+             .drop("tokens").withColumn("region", F.lit("author")))
     listed = texts.where(F.col("l").rlike(r"(?U)^\s*\d{1,2}\s*[.)]\s+|\b(" + "|".join(REGION_WORDS) + r")\b")) \
         .join(authors.select("doi").distinct(), "doi", "left_semi").withColumn("region", F.lit("affiliation"))
     points = named.unionByName(listed).select("doi", "region", F.explode("box").alias("p"))
