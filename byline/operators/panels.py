@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from byline.functions.text import (EMAIL, INSTITUTION_WORDS, ascii_punctuation, contains_any,
                                    first_seen, initials_token, lines, name_parts, squeeze, strip,
                                    strip_accents)
+from byline.session import spread_out
 
 # Fixed values.
 AFFILIATION_LINE_WORDS = INSTITUTION_WORDS + ["academy", "faculty", "state key laboratory",
@@ -155,7 +156,7 @@ def extract_panel_affiliations(panels: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     low = F.lower(text)
-    rows = (panels.withColumn("_pairs", affiliation_pairs(text))
+    rows = (spread_out(panels).withColumn("_pairs", affiliation_pairs(text))
             .withColumn("_corr", correspondence_names(text))
             .withColumn("_init", equal_initials(text)))
     # Names of all pairs travel through one Arrow call as one string per row.
