@@ -202,14 +202,14 @@ def examples(docs: DataFrame, text_col: str = "text") -> DataFrame:
             .withColumn("fold", F.pmod(F.xxhash64("x", "label"), F.lit(4))))
 
 
-def train(docs: DataFrame, text_col: str = "text", train_docs: int = 20_000, precision: float = 0.98, trees: int = 20, depth: int = 4) -> Model | None:
-    """Trees and thresholds from at most about ``train_docs`` texts, drawn by hash; None if they hold no plain case.
+def train(docs: DataFrame, text_col: str = "text", train_docs: int | None = None, precision: float = 0.98, trees: int = 20, depth: int = 4) -> Model | None:
+    """Trees and thresholds from all texts, or from about ``train_docs`` drawn by hash; None if they hold no plain case.
 
     Equal feature vectors are counted, three quarters of them train and the others set, for each kind, the least threshold at which
     that share of the weight above is of true cases. A kind without true cases there gets no threshold, so it adds nothing.
     """
-    rows = docs.count()
-    if rows > train_docs:
+    rows = docs.count() if train_docs is not None else 0
+    if train_docs is not None and rows > train_docs:
         docs = docs.where(F.pmod(F.xxhash64(text_or_empty(F.col(text_col))), F.lit(1 << 20)) < int((1 << 20) * train_docs / rows))
     known = staged(examples(docs, text_col))
     sums = known.groupBy((F.col("fold") == 0).alias("held")).agg(F.sum("label").alias("true"), F.sum(1 - F.col("label")).alias("false")).collect()

@@ -247,3 +247,8 @@ def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.train(empty) is None and pii.find_personal_data(empty, None).collect() == []
     assert pii.train(spark.createDataFrame([(1, None), (2, "no numbers")], "doc_id long, text string")) is None
+
+
+def test_personal_data_is_learned_from_all_texts_by_default():
+    import inspect
+    assert inspect.signature(pii.train).parameters["train_docs"].default is None
