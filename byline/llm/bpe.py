@@ -21,11 +21,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from byline.llm.staging import text_or_empty
 
 #: Entries a worker remembers at most; a full memory is emptied. Pieces longer than this many characters are not kept.
-MEMORY, MEMORY_CHARS = 200_000, 48
+MEMORY, MEMORY_CHARS = 50_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -210,23 +211,25 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
     and the job fails if they do not give the text back.
     """
     name, ranks = _broadcast(docs.sparkSession, vocabulary)
-    rows = docs.drop(ids_col).withColumn("_text", text_or_empty(F.col(text_col)))
-    schema = rows.drop("_text").withColumn(ids_col, F.array(F.lit(0))).schema
+    rows, source = docs.drop(ids_col), text_col
+    if rows.schema[text_col].dataType != StringType():  # a string goes to the workers once, as it is
+        rows, source = rows.withColumn("_text", text_or_empty(F.col(text_col))), "_text"
+    schema = docs.drop(ids_col).withColumn(ids_col, F.array(F.lit(0))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _worker_encoder(name, ranks, pattern)
         for batch in batches:
             for part in _slices(batch):
                 made = []
-                for text in _texts(part, "_text"):
+                for text in _texts(part, source):
                     got = coder.encode(text)
                     if verify and coder.decode(got) != text.encode():
                         raise ValueError("ids do not decode to the text they were made from")
                     made.append(np.frombuffer(got, "<u4").astype(np.int32))
                 ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(ends, np.concatenate([*made, np.zeros(0, np.int32)]))
-                kept = [part.column(c) for c in part.schema.names if c != "_text"]
-                yield pa.RecordBatch.from_arrays([*kept, ids], [*(c for c in part.schema.names if c != "_text"), ids_col])
+                names = [c for c in part.schema.names if c != "_text"]
+                yield pa.RecordBatch.from_arrays([*map(part.column, names), ids], [*names, ids_col])
 
     return rows.mapInArrow(run, schema)
 
