@@ -25,8 +25,9 @@ from pyspark.sql.types import StringType
 
 from byline.llm.staging import text_or_empty
 
-#: Entries a worker remembers at most; a full memory is emptied. Pieces longer than this many characters are not kept.
-MEMORY, MEMORY_CHARS = 50_000, 48
+#: Entries a worker remembers at most, of pieces and of neighbours; of pieces the half longest not asked for goes first, neighbours go
+#: at once. Pieces longer than this many characters are not kept.
+MEMORY, MEMORY_CHARS = 200_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,8 +79,9 @@ class Encoder:
         self.bytes_of = dict(zip(ranks.values(), ranks.keys(), strict=True))
         self.halves: dict[int, tuple[int, int]] = {}
         self.fits: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
-        self.known_latin: dict[bytes, bytes] = {}
+        #: ids of pieces, newer and older ones; those of Latin-1 texts are bytes
+        self.known: dict[str | bytes, bytes] = {}
+        self.older: dict[str | bytes, bytes] = {}
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():  # a token that merging never makes can only be a whole piece
             parts, joint = merged(token, ranks)
@@ -125,32 +127,34 @@ class Encoder:
     def walk(self, piece: bytes) -> list[int]:
         """The tokens of a piece that is no token itself."""
         n, latin = len(piece), piece.decode("latin-1")
-        size, shorter, neighbours, made, most = self.size, self.shorter, self.neighbours, self.made, self.longest
-        prefix = self.automaton.longest_prefix  # as far as the automaton follows; the longest token ends there or before
-
-        def longest(at: int) -> int:
-            ahead = prefix(latin[at:at + most])
-            while ahead:
-                token = made.get(piece[at:at + ahead])
-                if token is not None:
-                    return token
-                ahead -= 1
-            return -1
-
-        dead, path, at, token = bytearray(n + 1), [], 0, longest(0)
+        size, shorter, fits, neighbours, token_at = self.size, self.shorter, self.fits, self.neighbours, self.made.get
+        most, prefix = self.longest, self.automaton.longest_prefix
+        dead, path, at, last = bytearray(n + 1), [], 0, -1
         while at < n:
-            while token >= 0 and (dead[at + size[token]] or (path and not neighbours(path[-1], token))):
-                token = shorter[token]
-            if token >= 0:
-                path.append(token)
-                at += size[token]
-                token = longest(at)
-            elif not path:
-                raise ValueError("the vocabulary lacks a byte")
-            else:
+            # As far as the automaton follows; the longest token ends there or before.
+            ahead, token = prefix(latin[at:at + most]), None
+            while ahead and token is None:
+                token = token_at(piece[at:at + ahead])
+                ahead -= 1
+            token = -1 if token is None else token
+            while True:
+                while token >= 0:
+                    if not dead[at + size[token]]:
+                        fit = last < 0 or fits.get(last << 32 | token)
+                        if fit or (fit is None and neighbours(last, token)):
+                            break
+                    token = shorter[token]
+                if token >= 0:
+                    break
+                if not path:
+                    raise ValueError("the vocabulary lacks a byte")
                 dead[at] = 1
                 token = path.pop()
                 at -= size[token]
+                last = path[-1] if path else -1
+            path.append(token)
+            at += size[token]
+            last = token
         return path
 
     def _ids(self, raw: bytes) -> bytes:
@@ -160,23 +164,27 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
         try:
-            pieces, known = self.latin_pieces(text.encode("latin-1")), self.known_latin
+            pieces = self.latin_pieces(text.encode("latin-1"))
         except (UnicodeEncodeError, TypeError):
-            pieces, known = self.pieces(text), self.known
-        ids = list(map(known.get, pieces))
+            pieces = self.pieces(text)
+        ids = list(map(self.known.get, pieces))
         if None in ids:
             for i, got in enumerate(ids):
                 if got is None:
-                    piece = pieces[i]
-                    ids[i] = known.get(piece)
-                    if ids[i] is None:
-                        ids[i] = self._ids((piece.decode("latin-1") if known is self.known_latin else piece).encode())
-                        if len(piece) <= MEMORY_CHARS:
-                            if len(known) >= MEMORY:
-                                known.clear()
-                            known[piece] = ids[i]
+                    ids[i] = self._piece(pieces[i])
         return b"".join(ids)
 
+    def _piece(self, piece: str | bytes) -> bytes:
+        """The ids of a piece; what is asked for again moves up before the older half is forgotten."""
+        ids = self.known.get(piece) or self.older.get(piece)
+        if ids is None:
+            ids = self._ids((piece.decode("latin-1") if isinstance(piece, bytes) else piece).encode())
+        if len(piece) <= MEMORY_CHARS:
+            if len(self.known) >= MEMORY // 2:
+                self.known, self.older = {}, self.known
+            self.known[piece] = ids
+        return ids
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I").tolist()))
 

@@ -35,6 +35,19 @@ def test_bpe_long_and_odd_texts(text):
     assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == PLAIN.encode_ordinary(text)
 
 
+def test_bpe_remembers_what_returns(monkeypatch):
+    """A piece that keeps coming back is walked once, however many others pass, and no more than MEMORY are held."""
+    monkeypatch.setattr(bpe, "MEMORY", 8)
+    coder, asked = bpe.Encoder(RANKS, public_tokenizers.PATTERN), []
+    plain = coder._ids
+    monkeypatch.setattr(coder, "_ids", lambda raw: asked.append(raw) or plain(raw))
+    for i in range(40):
+        text = f" zqxjkvoft wq{chr(97 + i % 26)}xkz{chr(97 + i // 26)}"
+        assert memoryview(coder.encode(text)).cast("I").tolist() == memoryview(ENCODER.encode(text)).cast("I").tolist()
+        assert len(coder.known) + len(coder.older) <= 8
+    assert asked.count(b" zqxjkvoft") == 1 and len(asked) == 41
+
+
 def test_bpe_operators(spark):
     docs = spark.createDataFrame([(1, "Hello world", "x"), (None, None, "y"), (2, "", None), (2, "Hello world", "x")], "doc_id long, text string, ids string")
     coded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN)
