@@ -178,3 +178,24 @@ def test_head_pairs_without_a_list_read_every_line(spark):
     read = lambda **k: author_text._head_pairs(F.col("t"), F.lit(9), known, **k)
     row = spark.createDataFrame([(text,)], "t string").select(read().alias("all"), read(max_lines=12).alias("few")).first()
     assert len(row["all"]) == 1 and len(row["few"]) == 0
+
+
+def test_fusion_moves_both_lists_once(spark):
+    """Author lists are aligned after one exchange by paper, lone papers and rows without a paper included."""
+    row = ("10.1/a", 1, "Ann Lee", None, None, 1, False, False, None, None, None, None, None)
+
+    def rows(*given):
+        return spark.createDataFrame([tuple(g) + row[len(g):] for g in given], AUTHOR_EVIDENCE)
+    base = rows(("10.1/a", 1, "Ann Lee"), ("10.1/a", 2, "--"), (None, 1, "Cy Fox"))
+    other = rows(("10.1/a", 5, "ANN LEE", "U"), ("10.1/a", 6, "Di Roe", "V", None, 9), ("10.1/a", 7, "di-roe", "W", None, 9),
+                 ("10.1/b", 1, "Bo Chan", "X"), (None, 1, "Cy Fox", "Y"))
+    want = {"enrich_registry": 5, "fuse_registry_vision": 5, "merge_hover": 6}
+    for name, n in want.items():
+        out = getattr(fusion, name)(base, other)
+        got = {(r.doi, r.pos): (r.name, r.affiliation) for r in out.collect()}
+        assert out.count() == n
+        assert got["10.1/a", 1] == ("Ann Lee", "U") and got["10.1/b", 1] == ("Bo Chan", "X")
+        assert out.where("doi IS NULL AND affiliation IS NULL").count() == 1
+        assert ("10.1/a", 8) not in got or got["10.1/a", 8] == ("Di Roe", "V")
+        plan = getattr(fusion, name)(base, other)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Join") == 0 and plan.count("Exchange hashpartitioning") == 1
