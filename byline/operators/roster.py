@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from byline.functions.text import strip
+from byline.functions.text import bind, strip
 from byline.operators.ranking import rank_within
 
 # Fixed values.
@@ -53,21 +53,35 @@ def name_variants(rows: DataFrame, syllables: DataFrame) -> DataFrame:
     """Add ``name_en_list``: 'Given Family' and 'G. G. Family'.
 
     ``syllables``: (ch, syllable). The first syllable is the family name. Names with a
-    character outside the table, or of one syllable, get an empty list.
+    character outside the table, or of one syllable, get an empty list. A name is spelled
+    where it stands: the table is one array by code point, which has at most as many
+    places as Unicode, however long the roster is.
     """
+    table = _by_code_point(syllables)
+
+    def spelled(s):
+        given = F.slice(s, F.lit(2), F.size(s))
+        initials = F.transform(given, lambda g: F.concat(F.upper(F.substring(g, 1, 1)), F.lit(".")))
+        return F.when((F.size(s) > 1) & ~F.exists(s, lambda x: x.isNull()), F.array(
+            F.concat_ws(" ", F.array_join(given, " "), F.get(s, F.lit(0))), F.concat_ws(" ", F.array_join(initials, " "), F.get(s, F.lit(0)))))
     chars = F.regexp_extract_all("name_zh", F.lit("(?s)."), F.lit(0))
-    spelled = (rows.select("row_index", F.posexplode(chars).alias("i", "ch"))
-               .join(syllables.groupBy("ch").agg(F.min("syllable").alias("syllable")), "ch", "left")
-               .groupBy("row_index").agg(
-                   F.transform(F.array_sort(F.collect_list(F.struct("i", F.initcap("syllable").alias("s")))),
-                               lambda x: x["s"]).alias("_s"), F.count("*").alias("_n")))
-    whole = ~F.exists("_s", lambda s: s.isNull()) & (F.size("_s") > 1)
-    family, given = F.get("_s", F.lit(0)), F.slice("_s", 2, 1000)
-    initials = F.transform(given, lambda g: F.concat(F.upper(F.substring(g, 1, 1)), F.lit(".")))
-    variants = F.when(whole, F.array(F.concat_ws(" ", F.array_join(given, " "), family),
-                                     F.concat_ws(" ", F.array_join(initials, " "), family)))
-    return (rows.join(spelled.select("row_index", variants.alias("name_en_list")), "row_index", "left")
-            .withColumn("name_en_list", F.coalesce("name_en_list", F.array().cast("array<string>"))))
+    variants = bind(F.transform(chars, lambda ch: F.substr(F.nullif(F.get(table, F.ascii(ch)), F.lit("")), F.lit(2))), spelled)
+    return rows.withColumn("name_en_list", F.coalesce(variants, F.array().cast("array<string>")))
+
+
+def _by_code_point(syllables: DataFrame) -> Column:
+    """The array whose place c holds '=' and the capitalised syllable, the least of several, of the character of code point c, or ''.
+
+    One value in the plan (runs a job): expressions over arrays take no subquery.
+    """
+    # A least string is found by sorting; repeated rows are counted, that is hashed, before.
+    pairs = (syllables.where((F.char_length("ch") == 1) & F.col("syllable").isNotNull()).groupBy("ch", "syllable")
+             .agg(F.count(F.lit(1)).alias("n")).where("n > 0"))
+    known = (pairs.groupBy(F.ascii("ch").alias("c")).agg(F.initcap(F.min("syllable")).alias("s"))).collect()
+    table = [""] * (max((r.c for r in known), default=0) + 1)
+    for r in known:
+        table[r.c] = "=" + r.s
+    return F.split(F.lit("\u0001".join(table)), "\u0001")
 
 
 def check_roster(rows: DataFrame) -> DataFrame:
