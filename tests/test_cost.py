@@ -32,3 +32,22 @@ def test_names_are_spelled_where_they_stand(spark):
     assert dict(got)[9] == [" Ming", ". Ming"]  # an empty syllable is known
     assert dict(got)[7][0] == " ".join(["Ming"] * 1200)
     assert [r.name_en_list for r in roster.name_variants(rows, table.limit(0)).collect()] == [[]] * 10
+
+
+def test_token_sets_are_made_once(spark):
+    for name in ("similar_cases", "memory_signals"):
+        found = plan(QUERIES[name](spark, FOLDER))
+        assert "regexp_extract_all" not in found and "array_intersect" not in found, name
+
+
+def test_similar_cases_against_all_pairs(spark):
+    draw = random.Random(11)
+    words = [f"w{i}" for i in range(12)]
+    sets = [[draw.choice(words) for _ in range(draw.randint(0, 9))] for _ in range(80)] + [[f"z{i}" for i in range(300)] + words]
+    ask = spark.createDataFrame([(f"d{i}", v) for i, v in enumerate(sets)], "doi STRING, tokens array<string>")
+    mem = spark.createDataFrame([(i, v) for i, v in enumerate(sets[:40])], "id LONG, layout_fingerprint array<string>")
+    want = set()
+    for i, a in enumerate(map(set, sets)):
+        near = sorted((-len(a & b) / len(a | b), j) for j, b in enumerate(map(set, sets[:40])) if a & b and len(a & b) / len(a | b) >= 0.15)
+        want |= {(f"d{i}", k + 1, j, round(-s, 9)) for k, (s, j) in enumerate(near[:3])}
+    assert {(r.doi, r.place, r.id, round(r.score, 9)) for r in memory.similar_cases(ask, mem).collect()} == want
