@@ -6,12 +6,14 @@ work on a panel is local to its row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from byline.functions.text import (EMAIL, INSTITUTION_WORDS, ascii_punctuation, contains_any,
-                                   first_seen, initials_token, lines, name_parts, squeeze, strip,
-                                   strip_accents)
+from byline.functions.text import (EMAIL, INSTITUTION_WORDS, ascii_punctuation, bind, contains_any,
+                                   first_seen, initials_token, lines, name_parts, squeeze, squeezed_lines,
+                                   strip, strip_accents)
 from byline.session import spread_out
 
 # Fixed values.
@@ -31,26 +33,44 @@ def _plain(c: Column) -> Column:
     return squeeze(F.coalesce(c, F.lit("")))
 
 
+def _holds(c: Column, phrases: list[str]) -> Column:
+    """``contains_any`` for a bound, non-null column: plain searches, cheaper than a pattern of many branches."""
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in phrases])
+
+
+def _no_email(s: Column) -> Column:
+    return ~(F.contains(s, F.lit("@")) & s.rlike(EMAIL))
+
+
+# The tests of a line, cheap ones first: ``s`` is a bound, stripped line, so it may be mentioned often.
+
+def _person(s: Column) -> Column:
+    """Shape, length and digits of a name; institution words are not looked for."""
+    return (F.length(s).between(4, 80) & s.rlike(r"^[A-Z][A-Za-z.'\-]+(?: [A-Z][A-Za-z.'\-]+){1,5}$") & ~s.rlike(r"[\p{Nd}\p{No}]"))
+
+
+def _affiliation_line(s: Column) -> Column:
+    return F.length(s).between(25, 340) & bind(F.lower(s), lambda low: (
+        (_holds(low, AFFILIATION_LINE_WORDS) | (F.contains(s, F.lit(",")) & (F.length(s) >= 40)))
+        & ~_holds(low, PANEL_HEADINGS) & _no_email(s)))
+
+
+def _author_list_line(s: Column) -> Column:
+    return F.length(s).between(6, 220) & bind(F.lower(s), lambda low: (
+        (F.contains(s, F.lit(",")) | F.contains(s, F.lit("&")) | F.contains(low, F.lit(" and ")) | bind(squeeze(s), _person))
+        & ~_holds(low, INSTITUTION_WORDS) & _no_email(s)))
+
+
 def is_person_name(c: Column) -> Column:
-    s = _plain(c)
-    return (F.length(s).between(4, 80) & ~contains_any(F.lower(s), INSTITUTION_WORDS)
-            & ~s.rlike(r"[\p{Nd}\p{No}]")
-            & s.rlike(r"^[A-Z][A-Za-z.'\-]+(?: [A-Z][A-Za-z.'\-]+){1,5}$"))
+    return bind(_plain(c), lambda s: _person(s) & ~contains_any(F.lower(s), INSTITUTION_WORDS))
 
 
 def is_affiliation_line(c: Column) -> Column:
-    s = strip(F.coalesce(c, F.lit("")))
-    low = F.lower(s)
-    return (F.length(s).between(25, 340) & ~s.rlike(EMAIL) & ~contains_any(low, PANEL_HEADINGS)
-            & (contains_any(low, AFFILIATION_LINE_WORDS)
-               | (F.contains(s, F.lit(",")) & (F.length(s) >= 40))))
+    return bind(strip(F.coalesce(c, F.lit(""))), _affiliation_line)
 
 
 def is_author_list_line(c: Column) -> Column:
-    s = strip(F.coalesce(c, F.lit("")))
-    low = F.lower(s)
-    return (F.length(s).between(6, 220) & ~s.rlike(EMAIL) & ~contains_any(low, INSTITUTION_WORDS)
-            & (s.rlike("[&,]") | F.contains(low, F.lit(" and ")) | is_person_name(s)))
+    return bind(strip(F.coalesce(c, F.lit(""))), _author_list_line)
 
 
 def _comma_parts(c: Column) -> Column:
@@ -72,27 +92,27 @@ def affiliation_pairs(text: Column) -> Column:
     Inside the section, an affiliation line followed by an author-list line is a pair
     and both lines are used up. One fold over the lines: the state holds the place in
     the text (before, inside, after the section), the affiliation line that waits for
-    its authors, and the pairs so far.
+    its authors, and the pairs of lines so far. A line is tested only where the state asks
+    for it, and the names are cut out after the fold.
     """
-    facts = F.transform(F.transform(lines(text), squeeze), lambda x: F.struct(
-        x.alias("line"), F.contains(F.lower(x), F.lit(SECTION_START)).alias("start"),
-        contains_any(F.lower(x), SECTION_ENDS).alias("stop"),
-        is_affiliation_line(x).alias("aff"), is_author_list_line(x).alias("names")))
     none = F.lit(None).cast("string")
     zero = F.struct(F.lit(0).alias("place"), none.alias("open"),
-                    F.array().cast("array<struct<affiliation:string,authors:array<string>>>").alias("out"))
+                    F.array().cast("array<struct<affiliation:string,line:string>>").alias("out"))
+    state = lambda place, waiting, out: F.struct(F.lit(place).alias("place"), waiting.alias("open"), out.alias("out"))
 
     def step(s, x):
-        inside = (s["place"] == 1) & ~x["stop"]
-        place = F.when(s["place"] == 1, F.when(x["stop"], 2).otherwise(1)).when(
-            (s["place"] == 0) & x["start"], 1).otherwise(s["place"])
-        blank = x["line"] == ""
-        pair = inside & s["open"].isNotNull() & x["names"]
-        item = F.struct(s["open"].alias("affiliation"), author_list(x["line"]).alias("authors"))
-        waiting = F.when(inside & blank, s["open"]).when(inside & ~pair & x["aff"], x["line"]).otherwise(none)
-        return F.struct(place.alias("place"), waiting.alias("open"),
-                        F.when(pair, F.array_append(s["out"], item)).otherwise(s["out"]).alias("out"))
-    return F.aggregate(facts, zero, step, lambda s: s["out"])
+        def tested(pair):
+            item = F.struct(s["open"].alias("affiliation"), x.alias("line"))
+            return F.when(pair, state(1, none, F.array_append(s["out"], item))).otherwise(
+                state(1, F.when(_affiliation_line(x), x), s["out"]))
+        started = F.contains(F.lower(x), F.lit(SECTION_START))
+        stopped = bind(F.lower(x), lambda low: _holds(low, SECTION_ENDS))
+        return (F.when((s["place"] == 2) | ((s["place"] == 1) & (x == "")), s)
+                .when(s["place"] == 0, F.when(started, state(1, none, s["out"])).otherwise(s))
+                .when(stopped, state(2, none, s["out"]))
+                .otherwise(bind(s["open"].isNotNull() & _author_list_line(x), tested)))
+    found = F.aggregate(squeezed_lines(text), zero, step, lambda s: s["out"])
+    return F.transform(found, lambda p: F.struct(p["affiliation"], author_list(p["line"]).alias("authors")))
 
 
 def correspondence_names(text: Column) -> Column:
@@ -126,26 +146,20 @@ def names_match(a: Column, b: Column) -> Column:
 
 def affiliations_from_text(text: Column, max_lines: int | None = None) -> Column:
     """Distinct lines that look like affiliations (score >= 3), all or the first ``max_lines``."""
-    rows = F.transform(lines(text), squeeze)
-
     def good(s):
-        low = F.lower(s)
-        score = (F.when(contains_any(low, INSTITUTION_WORDS), 3).otherwise(0)
-                 + F.when(F.contains(s, F.lit(",")), 1).otherwise(0)
-                 + F.when(F.length(s).between(15, 240), 1).otherwise(0))
-        return (F.length(s) >= 10) & ~contains_any(low, NOTE_WORDS) & ~s.rlike(EMAIL) & (score >= 3)
-    found = first_seen(F.filter(rows, good))
+        # an institution word scores 3, a comma and a usual length 1 each: without the word the score stays below 3
+        return (F.length(s) >= 10) & bind(F.lower(s), lambda low: _holds(low, INSTITUTION_WORDS) & ~_holds(low, NOTE_WORDS) & _no_email(s))
+    found = first_seen(F.filter(squeezed_lines(text), good))
     return found if max_lines is None else F.slice(found, 1, max_lines)
 
 
 def best_line(text: Column) -> Column:
     """The first line with the best score (keyword 2, fifteen characters 1); '' if over 240."""
     rows = F.filter(F.transform(lines(text), strip), lambda x: F.length(x) > 0)
+    worded = lambda x: bind(F.lower(x), lambda low: _holds(low, BEST_LINE_WORDS))
     scored = F.transform(rows, lambda x, i: F.struct(
-        (-(F.when(contains_any(F.lower(x), BEST_LINE_WORDS), 2).otherwise(0)
-           + F.when(F.length(x) >= 15, 1).otherwise(0))).alias("s"), i.alias("i"), x.alias("line")))
-    best = F.array_min(scored)["line"]
-    return F.when(F.length(best) <= 240, best).otherwise("")
+        (-(F.when(worded(x), 2).otherwise(0) + F.when(F.length(x) >= 15, 1).otherwise(0))).alias("s"), i.alias("i"), x.alias("line")))
+    return bind(F.array_min(scored)["line"], lambda best: F.when(F.length(best) <= 240, best).otherwise(""))
 
 
 def extract_panel_affiliations(panels: DataFrame) -> DataFrame:
