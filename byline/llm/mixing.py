@@ -52,6 +52,11 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: fl
             .select("_src", "source_size", F.least(limit, F.coalesce(F.col("_level") * F.col("_w"), limit)).alias("target")))
 
 
+def _named(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source))
+
+
 def rate(lam: Column, x: Column, cap: float) -> Column:
     return F.lit(cap) / (1 + F.lit(cap - 1) * F.exp(-lam * x))
 
@@ -118,7 +123,7 @@ def mixed(docs: DataFrame, weights: list[float] | None = None, share: float = 1.
     made = ["size", "source_size", "target", "copies"]
     rows = docs.drop(*made).withColumn("_size", word_count(F.col(text_col))).withColumn("_src", F.col(source_col).cast("string"))
     order = F.xxhash64(F.col(id_col), F.col(text_col))
-    rows = rows.withColumns({"_turn": order, "_salt": F.pmod(order, F.lit(SALTS)).cast("int")})
+    rows = rows.withColumns({"_turn": order, "_salt": F.pmod(order, F.lit(SALTS)).cast("int"), "_named": _named(F.col("_src"))})
     narrow = staged(rows.groupBy("_src", "_size", "_salt").agg(F.count(F.lit(1)).alias("_n")))
     sizes = narrow.groupBy("_src", "_size").agg(F.sum("_n").alias("_n"))
     targets = source_targets(sizes, weights, share, cap)
@@ -139,19 +144,21 @@ def mixed(docs: DataFrame, weights: list[float] | None = None, share: float = 1.
              .withColumn("_from", F.floor(F.col("_copies") * (F.col("_upto") - F.col("_in")) / F.col("_n")))
              .select("_src", "_size", "_salt", (F.col("_to") - F.col("_from")).alias("_part"), F.col("_in"))
              .join(state.select(F.col("_src").alias("_key"), "source_size", "target"), F.col("_key").eqNullSafe(F.col("_src")))
-             .select(F.col("_src").alias("_key"), F.col("_size").alias("_zise"), F.col("_salt").alias("_tlas"), "_part", "_in",
-                     "source_size", "target"))
+             .select(_named(F.col("_src")).alias("_named"), "_size", "_salt", "_part", "_in", "source_size", "target"))
     return _deal(rows, dealt).drop("_src").withColumnRenamed("_size", "size").select(
         *[c for c in docs.columns if c not in made], *made)
 
 
 def _deal(rows: DataFrame, dealt: DataFrame) -> DataFrame:
-    """Adds ``copies``: every row of a part gets the same whole number, the first of them one more."""
-    joined = rows.join(dealt, F.col("_key").eqNullSafe(F.col("_src")) & (F.col("_zise") == F.col("_size")) & (F.col("_tlas") == F.col("_salt")))
-    place = F.row_number().over(Window.partitionBy("_src", "_size", "_salt").orderBy("_turn"))
-    extra = F.when(F.col("_in") == 1, 0).otherwise(place) <= F.col("_part") % F.col("_in")
+    """Adds ``copies``: every row of a part gets the same whole number, the first of them one more.
+
+    Rows are placed and then joined by the same columns, none of them null, so whole texts are shuffled and sorted once.
+    """
+    part = ["_named", "_size", "_salt"]
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*part).orderBy("_turn")))
+    extra = F.col("_place") <= F.col("_part") % F.col("_in")
     one = F.when(F.col("_in") == 1, F.col("_part")).otherwise(F.floor(F.col("_part") / F.col("_in")) + extra.cast("long"))
-    return joined.withColumn("copies", one.cast("int")).drop("_key", "_zise", "_tlas", "_part", "_in", "_turn", "_salt")
+    return placed.join(dealt, part).withColumn("copies", one.cast("int")).drop("_named", "_place", "_part", "_in", "_turn", "_salt")
 
 
 def repeated(docs: DataFrame, copies_col: str = "copies") -> DataFrame:

@@ -218,3 +218,17 @@ def test_pipeline_stages(spark):
     assert set(kept[3]) <= set(kept[2]) and len(kept[3]) == len(set(kept[3]))
     assert set(kept[4]) <= set(kept[3]) and max(kept[4].count(i) for i in kept[4]) <= 2
     assert sorted(kept[5]) == sorted(kept[4])
+
+
+def test_mixing_shuffles_texts_once(spark):
+    """The rows with their texts meet the copies of their part in one exchange, however the join is made."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} " * (i % 5 + 1), [None, "a", "b"][i % 3]) for i in range(400)], "doc_id LONG, text STRING, source STRING")
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = mixing.mixed(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(_named") == 2  # the rows, and the copies of the parts
+        assert out.count() == 400 and out.where("copies IS NULL OR target IS NULL").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
