@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from byline.llm.staging import text_or_empty
+from byline.llm.worker import kept
 
 #: Entries a worker remembers at most, of pieces and of neighbours; of pieces the half longest not asked for goes first, neighbours go
 #: at once. Pieces longer than this many characters are not kept.
@@ -189,15 +190,9 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I").tolist()))
 
 
-_held: dict[tuple[str, str], Encoder] = {}
-
-
 def _worker_encoder(name: str, ranks, pattern: str) -> Encoder:
-    """One encoder per Python worker, kept over its tasks."""
-    if (name, pattern) not in _held:
-        _held.clear()
-        _held[name, pattern] = Encoder(ranks.value, pattern)
-    return _held[name, pattern]
+    """One encoder per Python worker, kept over its tasks until another operator's work comes."""
+    return kept(("bpe", name, pattern), lambda: Encoder(ranks.value, pattern))
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:

@@ -18,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from byline.llm.staging import staged, text_or_empty
+from byline.llm.worker import forget
 
 LETTERS, TRIPLES = 48, 48 ** 3
 OPENS, CLOSES = 46, 47  # stand before and after a word
@@ -28,6 +30,7 @@ GAPPED = 3.0  # the margin asked of words with a letter put in
 CAREFUL = 5.0  # what a clean row weighs against a toxic one
 LONGEST, STEP = 24, 12
 MEMORY = 200_000
+CELLS = 1 << 17  # places of triples looked at together
 SENTENCE = re.compile(r"[.!?|\n]+")
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
@@ -83,8 +86,9 @@ def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
             by_size.setdefault(len(word), []).append((n, word))
     for size, found in by_size.items():
         i, j, k, weight = _spots(size + 2)
-        for a in range(0, len(found), 2048):
-            part = found[a:a + 2048]
+        step = max(1, CELLS // max(1, len(i)))
+        for a in range(0, len(found), step):
+            part = found[a:a + step]
             at = np.array([[OPENS, *map(_place, w), CLOSES] for _, w in part], np.int64)
             codes = (at[:, i] * LETTERS + at[:, j]) * LETTERS + at[:, k]
             rows = np.repeat(np.arange(len(part)), len(i))
@@ -109,10 +113,10 @@ def margins(words: list[str], model: Model) -> np.ndarray:
 
 
 def _vectors(words: list[str]) -> np.ndarray:
-    """Unit vectors of words, the first window of long ones."""
-    out = np.zeros((len(words), TRIPLES), np.float32)
+    """Unit vectors of words, the first window of long ones: one column per word."""
+    out = np.zeros((TRIPLES, len(words)), np.float32)
     for n, row, code, value in features([w[:LONGEST] for w in words]):
-        out[n[row], code] = value
+        out[code, n[row]] = value
     return out
 
 
@@ -120,8 +124,9 @@ def _kernel(words: list[str], base: np.ndarray) -> np.ndarray:
     """The kernel of words with landmarks; ``base`` has one column per landmark."""
     out = np.zeros((len(words), base.shape[1]))
     for n, row, code, value in features([w[:LONGEST] for w in words]):
-        for a in range(0, len(n), 256):
-            lo, hi = np.searchsorted(row, [a, a + 256])
+        step = max(1, min(256, (CELLS // 16) * len(n) // max(1, len(row))))  # each triple takes a row of ``base``
+        for a in range(0, len(n), step):
+            lo, hi = np.searchsorted(row, [a, a + step])
             starts = np.flatnonzero(np.diff(row[lo:hi], prepend=-1))
             out[n[row[lo:hi][starts]]] = np.add.reduceat(base[code[lo:hi]] * value[lo:hi, None], starts)
     return out
@@ -146,7 +151,7 @@ def svm(x: np.ndarray, y: np.ndarray, goal: np.ndarray, weight: np.ndarray, ridg
 
 def trained(landmarks: list[str], positive: dict[str, float], gapped: dict[str, float], negative: dict[str, float], ridge: float = 1e-4) -> Model:
     """A machine from example words and their weights. Gapped words lie near clean ones and are asked for a wider margin."""
-    base = np.ascontiguousarray(_vectors(landmarks).T)
+    base = _vectors(landmarks)
     scale, turn = np.linalg.eigh((base.T @ base).astype(np.float64))
     keep = scale > 1e-6 * scale.max()
     map_ = turn[:, keep] / np.sqrt(scale[keep])
@@ -165,6 +170,7 @@ def _gapped(word: str) -> list[str]:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many toxic and clean rows of a batch each word stands."""
+    forget()
     for batch in batches:
         counts = {0: Counter(), 1: Counter()}
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
@@ -187,6 +193,7 @@ def witnesses(text: str, value: Callable[[list[str]], list[float]], limit: Calla
 def _witness_counts(shares, model):
     """How many sentences of a batch each word speaks for: by ``shares`` of all words of toxic rows, or by the margins of a model."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known: dict[str, float] = {}
 
         def learnt(words: list[str]) -> list[float]:
@@ -225,23 +232,25 @@ class Scorer:
         return np.array([max(map(value, f), default=self.model.bias) for f in found])
 
 
-def _scores(model):
+def _scores(model, source: str = "_text"):
+    """Rows with their scores, some at a time, so that results never pile up; a column ``_text`` stays behind."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m = model.value
         scorer = Scorer(m)
         for batch in batches:
-            worst = [np.zeros(0)]
+            names = [c for c in batch.schema.names if c != "_text"]
             for a in range(0, batch.num_rows, 128):
-                worst.append(scorer.worst(batch.column("_text").slice(a, 128).to_pylist()))
-            z = np.clip(m.slope * np.concatenate(worst) + m.offset, -50, 50)
-            kept = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(1 / (1 + np.exp(-z)))], [*kept, "score"])
+                part = batch.slice(a, 128)
+                z = np.clip(m.slope * scorer.worst([t or "" for t in part.column(source).to_pylist()]) + m.offset, -50, 50)
+                yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(1 / (1 + np.exp(-z)))], [*names, "score"])
     return run
 
 
 def _worst_rows(model):
     """The margin of each row's worst word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         scorer = Scorer(model.value)
         for batch in batches:
             worst = [scorer.worst(batch.column("text").slice(a, 128).to_pylist()) for a in range(0, batch.num_rows, 128)]
@@ -340,6 +349,7 @@ def _first(rows: DataFrame, n: int | None) -> DataFrame:
 
 def _margin_rows(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             words = batch.column("word")
             yield pa.RecordBatch.from_arrays([words, batch.column("clean"), pa.array(margins(words.to_pylist(), model.value))], ["word", "clean", "margin"])
@@ -350,9 +360,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     """``docs`` with ``score_col``, from 0 to 1; such a column is replaced. Whole texts are scored; null texts count as empty, and a text
     without words gets the score of a word that is like no landmark."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.drop(score_col).withColumn("_text", text_or_empty(F.col(text_col)))
+    rows, source = docs.drop(score_col), text_col
+    if text_col in (score_col, "score") or rows.schema[text_col].dataType != StringType():  # a string goes to the workers once, as it is
+        rows, source = docs.withColumn("_text", text_or_empty(F.col(text_col))).drop(score_col), "_text"
     if score_col != "score":
         rows = rows.withColumnRenamed("score", "_score")
     schema = rows.drop("_text").withColumn("score", F.lit(0.0)).schema
-    out = rows.mapInArrow(_scores(held), schema)
+    out = rows.mapInArrow(_scores(held, source), schema)
     return out if score_col == "score" else out.withColumnRenamed("score", score_col).withColumnRenamed("_score", "score")
