@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -190,17 +191,17 @@ def read_ocr_sidecars(spark: SparkSession, folder: str, dois: DataFrame | None =
     return df if dois is None else df.join(dois.select("doi").distinct(), "doi", "left_semi")
 
 
-def numbered_lines(texts: DataFrame, head: int = 60, tail: int = 0) -> DataFrame:
-    """(doi, line_no, line) of the first ``head`` and last ``tail`` lines, zero-padded.
+def numbered_lines(texts: DataFrame, head: int = 60, tail: int = 0, split: Callable[[Column], Column] = lines) -> DataFrame:
+    """(doi, line_no, line) of the first ``head`` and last ``tail`` lines, numbers of four digits or more.
 
-    Lines shown in the head are not repeated as tail unless the tail reaches into it.
+    Lines shown in the head are not repeated as tail unless the tail reaches into it. ``split`` cuts a text into lines.
     """
-    rows = texts.select("doi", lines(F.col("text")).alias("ls"))
+    rows = texts.select("doi", split(F.col("text")).alias("ls"))
     total = F.size("ls")
     spread = rows.select("doi", total.alias("n"), F.posexplode("ls").alias("i", "line"))
     return (spread.where((F.col("i") < head) | (F.col("i") >= F.col("n") - tail))
             .select("doi", (F.col("i") + 1).alias("line_no"),
-                    F.concat(F.lpad((F.col("i") + 1).cast("string"), 4, "0"), F.lit(": "), "line").alias("line")))
+                    F.format_string("%04d: %s", F.col("i") + 1, F.col("line")).alias("line")))
 
 
 def read_stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
