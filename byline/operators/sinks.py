@@ -116,17 +116,20 @@ def parse_box(box: Column) -> Column:
     return F.transform(points, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
 
 
-def sidecar_records(pages: DataFrame, max_chars: int | None = None, max_items: int | None = None) -> DataFrame:
+def sidecar_records(pages: DataFrame, max_chars: int | None = None, max_items: int | None = None,
+                    without_text: bool = False) -> DataFrame:
     """OCR sidecars of pages (doi, image_path, ocr_text, ocr_items), whole unless a cut is asked for.
 
-    Items hold text, score and a JSON box. Pages without image or text have no sidecar.
+    Items hold text, score and a JSON box. Pages without image have no sidecar, nor do pages without text unless
+    ``without_text`` asks for them.
     """
     items = F.col("ocr_items") if max_items is None else F.slice("ocr_items", 1, max_items)
     text = F.col("ocr_text") if max_chars is None else F.substring("ocr_text", 1, max_chars)
     boxes = F.transform(items, lambda i: F.struct(
         F.coalesce(i["text"], F.lit("")).alias("text"), i["score"].alias("score"),
         F.transform(parse_box(i["box"]), lambda p: F.array(p["x"], p["y"])).alias("box")))
-    return (pages.where((F.length(strip("image_path")) > 0) & (F.length("ocr_text") > 0))
+    kept = F.length(strip("image_path")) > 0
+    return (pages.where(kept if without_text else kept & (F.length("ocr_text") > 0))
             .select("doi", "image_path", text.alias("ocr_text"),
                     F.coalesce(boxes, F.array().cast(
                         "array<struct<text:string,score:double,box:array<array<double>>>>")).alias("ocr_items")))

@@ -13,7 +13,7 @@ ODD = [(1, ""), (2, None), (3, "a\n"), (4, "\n"), (5, "a\rb\x0bc d\ne\r\nf"),
        (7, "one line"), (8, " \n "), (11, "no page\nhere"), (12, "|\n||")]
 
 
-@pytest.mark.parametrize("name", ["numbered_lines"])
+@pytest.mark.parametrize("name", ["numbered_lines", "sidecar_records"])
 def test_odd_documents_as_sql(spark, name):
     folder = tempfile.mkdtemp(prefix="odd-")
     path = os.path.join(folder, "documents.parquet")
