@@ -5,10 +5,11 @@ estimates its bit by Krichevsky-Trofimov counts, and context-tree weighting mixe
 weight of stopping at a node is half its own sequence probability over its weighted one. Once the counts of the
 training texts are fixed, the mixture's code length of a byte depends only on the byte and its context (its gram), so
 
-1. tasks count the grams of their training texts, and the counts of a gram meet in a range of grams that share the
+1. tasks count the grams of all their training texts, and the counts of a gram meet in a range of grams that share the
    two nearest context bytes: all nodes of depth 2 and more lie inside one range;
 2. the nodes of depth 0 and 1 are 255 * 257 at most and are weighted once, from sums over the ranges;
-3. every block of documents asks the ranges for its distinct grams, seen in training or not, and sums up.
+3. every block of documents asks the ranges for its distinct grams, seen in training or not, and sums up. Pairs of
+   bytes that many blocks ask for are answered in parts, each for some of the blocks.
 
 Counts, nodes and requests grow with the corpus; nothing but the top 65,535 nodes is gathered.
 """
@@ -32,6 +33,8 @@ GRAM, WORD = 0, 1
 END = 255  # a byte that UTF-8 texts never hold
 PIECE = 1 << 22  # bytes looked at together
 DIRECT = 1 << 24  # largest table of pairs; beyond it they are sorted
+KEPT = 1 << 21  # distinct grams and words that a training task holds before it hands them on
+ASKED = 1 << 21  # grams of one range that are answered together
 _SPREAD, _BACK = 40503, pow(40503, -1, 1 << 16)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -103,16 +106,20 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[starts], np.add.reduceat(counts[order], starts) if len(starts) else counts
 
 
-def _counted(column: pa.Array, block: int, depth: int, ranges: int) -> pa.Table:
-    """The distinct grams and words of some texts with their counts, packed by range."""
+def _distinct(column: pa.Array, depth: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The distinct grams of some texts and their counts; the same of the words."""
     found, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     low = lowered(column)
     for code, ids, _ in grams(low, depth):
         n = np.bincount(ids, minlength=len(code))
         found.append(code[n > 0])
         times.append(n[n > 0])
-    keys, counts = _summed(np.concatenate(found), np.concatenate(times))
-    words, n_words = np.unique(words_of(low).hash, return_counts=True)
+    return _summed(np.concatenate(found), np.concatenate(times)), np.unique(words_of(low).hash, return_counts=True)
+
+
+def _packed(kinds, block: int, depth: int, ranges: int) -> pa.Table:
+    """Grams and words with their counts, packed by range."""
+    (keys, counts), (words, n_words) = kinds
     parts = []
     for kind, k, n, where in ((GRAM, keys, counts, _where(keys, depth, ranges)), (WORD, words, n_words, None)):
         t = exchange.pack(block, k, ranges, where, counts=n.astype(np.int32))
@@ -131,25 +138,63 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.Array]:
         a = b
 
 
+class _Counts:
+    """Counts of ascending keys that grow piece by piece; new ones wait until they outnumber the old ones."""
+
+    def __init__(self):
+        self.keys, self.counts, self.new = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def __len__(self) -> int:
+        return len(self.keys) + sum(len(k) for k, _ in self.new)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.new.append((keys, counts))
+        if len(self) > 2 * len(self.keys):
+            self.all()
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.new:
+            keys, counts = zip((self.keys, self.counts), *self.new, strict=True)
+            self.keys, self.counts = _summed(np.concatenate(keys), np.concatenate(counts))
+            self.new = []
+        return self.keys, self.counts
+
+
 def _train(depth: int, ranges: int):
+    """The counts of a task's texts, by range, and in ``asks`` how many grams of the range its pieces held, each for itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, asks, held = (_Counts(), _Counts()), np.zeros(ranges, np.int64), 0
+
+        def handed_on() -> list[pa.RecordBatch]:
+            t = _packed([x.all() for x in kinds], 0, depth, ranges)
+            gram, where = t["kind"].to_numpy() == GRAM, t["range"].to_numpy()
+            return t.append_column("asks", pa.array(np.where(gram, asks[where], 0))).combine_chunks().to_batches()
+
         for batch in batches:
             for texts in _slices(batch, "_text"):
-                yield from _counted(texts, 0, depth, ranges).combine_chunks().to_batches()
+                for kind, (keys, counts) in zip(kinds, _distinct(texts, depth), strict=True):
+                    kind.add(keys, counts)
+                    if kind is kinds[0]:
+                        asks += np.bincount(_where(keys, depth, ranges), minlength=ranges)
+                held += len(text_bytes(texts)[0]) + len(texts)
+                if sum(map(len, kinds)) > KEPT or held > 1 << 30:  # counts stay below 2 ** 31
+                    yield from handed_on()
+                    kinds, asks, held = (_Counts(), _Counts()), np.zeros(ranges, np.int64), 0
+        yield from handed_on()
     return run
 
 
 def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """One row per kind: the counts of a range."""
-    out = []
+    out, asks = [], pa.compute.sum(table["asks"]).as_py()
     for kind in (GRAM, WORD):
         part = table.filter(pa.compute.equal(table["kind"], kind))
         keys, counts = exchange.unpack(part, keys=np.uint64, counts=np.int32)
         keys, counts = _summed(keys, counts.astype(np.int64))
-        out.append((key[0].as_py(), kind, exchange.put(keys), exchange.put(counts)))
-    where, kind, keys, counts = zip(*out, strict=True)
+        out.append((key[0].as_py(), kind, exchange.put(keys), exchange.put(counts), asks))
+    where, kind, keys, counts, asks = zip(*out, strict=True)
     return pa.table({"range": pa.array(where, pa.int32()), "kind": pa.array(kind, pa.int32()), "keys": pa.array(keys, pa.binary()),
-                     "counts": pa.array(counts, pa.binary())})
+                     "counts": pa.array(counts, pa.binary()), "asks": pa.array(asks, pa.int64())})
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -187,7 +232,8 @@ class _Level:
         bit = self.byte >> (7 - i) & 1
         both, ones = np.add.reduceat(self.counts, starts), np.add.reduceat(self.counts * bit, starts)
         self.node, self.at = node[starts], np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(node))))
-        self.own = kt_log(both - ones, ones)
+        # grams asked for but never counted change nothing, whatever others are asked for with them
+        self.own = np.where(both > 0, kt_log(both - ones, ones), 0.0)
         self.estimate = (np.where(bit == 1, ones[self.at], (both - ones)[self.at]) + 0.5) / (both[self.at] + 1)
 
 
@@ -276,9 +322,12 @@ def gram_scores(keys: np.ndarray, counts: np.ndarray, depth: int, top: Top) -> n
     return score
 
 
-def _asked(depth: int, ranges: int):
+def _asked(depth: int, ranges: int, parts: dict[int, int]):
+    """``parts``: ranges that are answered in several parts, and in how many; a block asks one of them."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _counted(table.column("_text").combine_chunks(), key[0].as_py(), depth, ranges).drop(["counts"])
+        block = key[0].as_py()
+        t = _packed(_distinct(table.column("_text").combine_chunks(), depth), block, depth, ranges).drop(["counts"])
+        return t.append_column("part", pa.array([block % parts.get(r, 1) for r in t["range"].to_pylist()], pa.int32()))
     return run
 
 
@@ -356,9 +405,9 @@ def score_texts(docs: DataFrame, depth: int = 5, folds: int = 10, id_col: str =
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(F.col(text_col)).alias("_text"),
                        (F.crc32(key) % folds == 0).alias("_held"))
     training = rows.where("not _held").select("_text")
-    packed = "range int, block int, keys binary, counts binary, kind int"
+    packed = "range int, block int, keys binary, counts binary, kind int, asks bigint"
     counts = staged(training.mapInArrow(_train(depth, ranges), packed).groupBy("range").applyInArrow(
-        _merge, "range int, kind int, keys binary, counts binary"))
+        _merge, "range int, kind int, keys binary, counts binary, asks bigint"))
     ends = rows.where("not _held").count()
     tokens = counts.where(f"kind = {WORD}").mapInArrow(_totals, "n bigint, distinct bigint").agg(F.sum("n"), F.sum("distinct")).first()
     words, distinct = (int(x or 0) for x in tokens)
@@ -369,8 +418,12 @@ def score_texts(docs: DataFrame, depth: int = 5, folds: int = 10, id_col: str =
         seen[place], below[place] = s, b
     top = spark.sparkContext.broadcast(Top(seen, below))
     dealt = in_blocks(rows, ["_id", "_text"], ranges).groupBy("block")
-    asked = dealt.applyInArrow(_asked(depth, ranges), "range int, block int, keys binary, kind int")
-    answers = asked.groupBy("range").cogroup(counts.groupBy("range")).applyInArrow(
+    parts = F.greatest(F.ceil(F.col("asks") / ASKED).cast("int"), F.lit(1))
+    several = counts.where(f"kind = {GRAM}").select("range", parts.alias("parts")).where("parts > 1")
+    several = dict(several.collect())  # a number for each range that ASKED does not hold
+    asked = dealt.applyInArrow(_asked(depth, ranges, several), "range int, block int, keys binary, kind int, part int")
+    counts = counts.select("range", "kind", "keys", "counts", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    answers = asked.groupBy("range", "part").cogroup(counts.groupBy("range", "part")).applyInArrow(
         _answered(depth, top), "range int, block int, kind int, answers binary")
     id_type = rows.schema["_id"].dataType.simpleString()
     scored = dealt.cogroup(answers.groupBy("block")).applyInArrow(

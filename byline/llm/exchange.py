@@ -33,7 +33,7 @@ def pack(block: int, keys: np.ndarray, ranges: int, where: np.ndarray | None = N
 
 def put(x: np.ndarray) -> bytes:
     """An array's bytes, all first bytes before all second ones: ascending keys and small numbers then compress."""
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
 def unpack(table: pa.Table, **types) -> list[np.ndarray]:

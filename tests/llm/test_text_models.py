@@ -248,3 +248,22 @@ def test_buckets_of_several_components_are_compared_across(spark):
                 a, b = up[i], up[j]
                 up = [min(a, b) if x in (a, b) else x for x in up]
     assert {r.doc_id: r.class_id for r in got} == dict(enumerate(up))
+
+
+def test_byte_pairs_that_every_block_holds_stay_small(spark, monkeypatch):
+    texts = [(i, " ".join(f"{w} w{i * 7 % 50} x{i}" for w in ("the", "cat", "sat"))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    one = {r.doc_id: r.score for r in ctw.score_texts(docs, depth=3, block_bytes=200).collect()}
+    monkeypatch.setattr(ctw, "ASKED", 40)  # hot ranges are answered in parts
+    parts = {r.doc_id: r.score for r in ctw.score_texts(docs, depth=3, block_bytes=200).collect()}
+    assert parts == one and len(one) == 60
+    monkeypatch.setattr(ctw, "PIECE", 100)  # a task hands on what its texts hold once, whatever the number of its pieces
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in texts])], ["_text"])
+    rows = [r for b in ctw._train(3, 5)(iter([batch])) for r in b.to_pylist()]
+    assert len(rows) == len({(r["range"], r["kind"]) for r in rows})
+
+
+def test_ranges_without_grams(spark):
+    docs = spark.createDataFrame([(i, "ab ab ab") for i in range(40)], "doc_id long, text string")
+    want = {r.doc_id: r.score for r in ctw.score_texts(docs).collect()}  # one range
+    assert {r.doc_id: r.score for r in ctw.score_texts(docs, block_bytes=8).collect()} == pytest.approx(want)  # 40 ranges, most of them empty
