@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from byline.llm.components import components
 from byline.llm.staging import staged
 
-TILE = 1024
+TILE, TILES, LARGEST = 1024, 12, 65_536  # rows of a tile's side: a TILES-th of the vectors, within these bounds
+STEP = 1 << 22  # products of a tile that are looked at together
 ROUND = 1e-9  # room for rounding in bounds
 
 
@@ -197,15 +198,26 @@ def _linked(cosine: float):
         if len(ids) and len(others):
             x, y = _matrix(asking["unit"]), _matrix(members["unit"])
             n, m = asking["n"].to_numpy(), members["n"].to_numpy()
-            hit = x @ y.T >= cosine
             # a vector of the cell itself meets each other one twice, from both sides: the lesser id asks
             own = np.asarray(asking["home"].to_pylist(), bool)
-            hit &= ~own[:, None] | (ids[:, None] < others[None, :])
-            r, c = np.nonzero(hit)
-            got, back = np.bincount(r, m[c], len(ids)), np.bincount(c, n[r], len(others))
-            nodes, at = np.unique(np.concatenate([ids[r], others[c]]), return_inverse=True)
-            keep = _forest(at[:len(r)], at[len(r):], len(nodes))
-            for who, count, to in ((ids[got > 0], got[got > 0], None), (others[back > 0], back[back > 0], None), (ids[r[keep]], np.zeros(len(keep)), others[c[keep]])):
+            nodes, at = np.unique(np.concatenate([ids, others]), return_inverse=True)
+            got, back = np.zeros(len(ids), np.int64), np.zeros(len(others), np.int64)
+            a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)  # links that keep the components so far
+            step = max(1, STEP // len(others))
+            for first in range(0, len(ids), step):
+                rows = slice(first, first + step)
+                hit = x[rows] @ y.T >= cosine
+                hit &= ~own[rows, None] | (ids[rows, None] < others[None, :])
+                r, c = np.nonzero(hit)
+                r += first
+                np.add.at(got, r, m[c])
+                np.add.at(back, c, n[r])
+                a, b = np.concatenate([a, at[r]]), np.concatenate([b, at[len(ids) + c]])
+                if len(a) > len(nodes):
+                    keep = _forest(a, b, len(nodes))
+                    a, b = a[keep], b[keep]
+            keep = _forest(a, b, len(nodes))
+            for who, count, to in ((ids[got > 0], got[got > 0], None), (others[back > 0], back[back > 0], None), (nodes[a[keep]], np.zeros(len(keep)), nodes[b[keep]])):
                 out_id.append(who)
                 out_n.append(count.astype(np.int64))
                 out_to.append(who if to is None else to)
@@ -226,13 +238,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, target_recall: flo
     and vectors of another length than most of the table (ties: the longer) link with nothing. ``component_id`` is the least id that links
     reach; the row with that id is kept. Ids are integers and name vectors: of rows that share an id and differ, one
     speaks for all, and repeated rows count as linked vectors of their own. Rows without an id link with nothing.
-    Codebooks have as many centroids as give cells of ``cell_rows`` vectors on average (50, or TILE for a target of 1, where
+    Codebooks have as many centroids as give cells of ``cell_rows`` vectors on average (50, or a tile's side for a target of 1, where
     most cells are visited) and are fitted on at most ``sample`` vectors (those with the least hash of their id); all vectors
     are indexed. ``queries`` of the sample are compared with all vectors to find how far the traversal must go for a share
     ``target_recall`` of the vectors that link to have all their links; 1 finds every link, and so does a target that too few
     queries with links can tell. Equal vectors are one point with a
-    count, so a vector that a third of the rows repeat is compared once; cells of any size are verified in tiles of
-    TILE x TILE. An empty table gives an empty result.
+    count, so a vector that a third of the rows repeat is compared once; cells of any size are verified in tiles whose sides grow
+    with the vectors (up to LARGEST), so that a vector is sent to about as many tiles whatever their number. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
@@ -246,8 +258,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, target_recall: flo
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     x = _matrix(chosen["unit"])
     cut = max(1, x.shape[1] // 2)
-    cell_rows = cell_rows or (50 if target_recall < 1 else TILE)
-    centroids = min(max(1, len(x) // 4), max(8, int(np.sqrt(points.count() / cell_rows))))
+    total = points.count()
+    tile = min(max(TILE, total // TILES), LARGEST)
+    cell_rows = cell_rows or (50 if target_recall < 1 else tile)
+    centroids = min(max(1, len(x) // 4), max(8 if target_recall < 1 else 2, int(np.sqrt(total / cell_rows))))
     books = [codebook(part, centroids, seed) for seed, part in enumerate((x[:, :cut], x[:, cut:]))]
     index = spark.sparkContext.broadcast(Index(books))
     placed = staged(points.mapInArrow(_assign(index), "id bigint, unit binary, n bigint, i int, j int"))
@@ -258,8 +272,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, target_recall: flo
         room = room if reach is None else min(room, reach + ROUND)
     index = spark.sparkContext.broadcast(Index(books, room))
     visits = staged(placed.mapInArrow(_visits(index), "id bigint, i int, j int"))
-    sizes = placed.groupBy("i", "j").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
-    asked = visits.groupBy("i", "j").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("asks"))
+    sizes = placed.groupBy("i", "j").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"))
+    asked = visits.groupBy("i", "j").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("asks"))
     tiles = staged(sizes.join(asked, ["i", "j"]))  # a row per cell
     part, ask = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id"), F.col("asks")).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

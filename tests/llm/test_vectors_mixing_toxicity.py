@@ -232,3 +232,25 @@ def test_mixing_shuffles_texts_once(spark):
         assert out.count() == 400 and out.where("copies IS NULL OR target IS NULL").count() == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+def test_copies_of_vectors_grow_with_their_number(spark, monkeypatch):
+    """A vector goes to about as many tiles in a table four times as large, and links do not depend on the sides of tiles."""
+    from byline.llm import multiindex
+    draw = np.random.default_rng(4)
+    monkeypatch.setattr(multiindex, "TILE", 16)
+    monkeypatch.setattr(multiindex, "STEP", 500)
+    run, sent = multiindex._visits, []
+
+    def counted(index):
+        sent.append(len(index.value.books[0]) * len(index.value.books[1]))
+        return run(index)
+    monkeypatch.setattr(multiindex, "_visits", counted)
+    for n in (200, 800):
+        x = draw.normal(size=(n, 6))
+        x[: n // 4] = x[n // 4: n // 2] + draw.normal(size=(n // 4, 6)) * 0.05
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {r.vec_id: r.n_links for r in multiindex.near_duplicates(rows, target_recall=1).collect()}
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        assert got == dict(enumerate(((u @ u.T >= 0.95).sum(1) - 1).tolist())) and sum(got.values()) > n // 4
+    assert sent[1] <= 1.5 * sent[0]
